@@ -2,21 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm import toxicity
+from tessera.llm.decontamination import contaminated
 from tessera.llm.embedding_dedup import link_embeddings
+from tessera.llm.minhash_dedup import link_documents
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold() -> Column:
+    """One of five parts of the documents, by id."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+
+
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_embeddings(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(_table(spark, sf_dir, "documents"), shingle_words=2)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"), usable=_fold() != 0)
+    score = toxicity.scorer(spark, model)
+    scored = docs.select("doc_id", (F.coalesce(_fold(), F.lit(-1)) == 0).alias("held_out"), score("text").alias("score"), toxicity.threshold(model, F.col("lang")).alias("lang_threshold"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).withColumn("rejected", F.col("score") >= F.col("lang_threshold"))
+
+
 QUERIES = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_toxicity": op4_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}

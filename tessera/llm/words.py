@@ -17,6 +17,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+#: Turns ASCII punctuation into spaces, for words of letters and digits.
+PLAIN = np.arange(256, dtype=np.uint8)
+PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 32
 #: Bytes of text hashed at once; arrays of eight times this stay in the cache.
 CHUNK = 1 << 18
 
@@ -123,9 +126,10 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(mix(total + U64(k)))
 
 
-def texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, hashes of its words) for each row of a string column."""
+def texts(column: pa.Array, table: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, hashes of its words) for each row of a string column; ``table`` replaces bytes first."""
     data, offsets = buffers(column)
+    data = data if table is None else table[data]
     for lo, hi in chunks(offsets):
         words, at = hashed(data, offsets[lo : hi + 1])
         for r in range(lo, hi):
