@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import toxicity
+from tessera.llm import licences, toxicity
+from tessera.llm.class_lm import score_documents
 from tessera.llm.decontamination import contaminated
 from tessera.llm.embedding_dedup import link_embeddings
 from tessera.llm.minhash_dedup import link_documents
+from tessera.llm.mixing import mix_sources, taken
+from tessera.llm.pseudonyms import private_values
+from tessera.llm.sharding import assign_shards
+from tessera.llm.token_files import read_tokens, write_tokens
+from tessera.sources.scratch import Scratch
+
+#: The tokenizer file of op5; executors read it by this path.
+TOKENIZER = "word_bpe_49k.json"
+#: The key of op10's pseudonyms in queries; a production run passes its own secret.
+KEY = b"tessera query key"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,11 +51,50 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).withColumn("rejected", F.col("score") >= F.col("lang_threshold"))
 
 
-QUERIES = {
-    "op1_embedding_near_dedup": op1_embedding_near_dedup,
-    "op2_benchmark_decontamination": op2_benchmark_decontamination,
-    "op3_minhash_near_dedup": op3_minhash_near_dedup,
-    "op4_toxicity": op4_toxicity,
-}
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = Scratch(spark, "tokens").path("corpus")
+    return read_tokens(spark, write_tokens(_table(spark, sf_dir, "documents"), to, tokenizer_path(), end_id=1, by_word=True))
+
+
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_documents(_table(spark, sf_dir, "documents"), learn=_fold() != 1)
+    return scored.withColumn("held_out", F.coalesce(_fold() == 1, F.lit(False)))
+
+
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan_licences(_table(spark, sf_dir, "documents"))
+
 
-ORACLE_SQL: dict[str, str] = {}
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken(mix_sources(_table(spark, sf_dir, "documents")))
+
+
+def op9_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(_table(spark, sf_dir, "documents"))
+
+
+def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_values(_table(spark, sf_dir, "documents"), KEY)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_embedding_near_dedup, op2_benchmark_decontamination, op3_minhash_near_dedup, op4_toxicity, op5_token_ids,
+        op6_class_lm, op7_licence_scan, op8_source_mixing, op9_vector_sharding, op10_pseudonyms, pipeline,
+    )
+}
+
+ORACLE_SQL: dict[str, str] = {"op7_licence_scan": licences.oracle_sql()}
