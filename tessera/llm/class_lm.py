@@ -221,7 +221,7 @@ def train(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> tuple[Mo
     rare = counts.where(F.col("h") != end)
     if m:
         rare = rare.join(F.broadcast(spark.createDataFrame([(int(x),) for x in clustered.view(np.int64)], "h long")), "h", "left_anti")  # CLUSTERED rows
-    shapes = {r["shape"]: r for r in rare.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if("n = 1").alias("n1"), F.count_if("n = 2").alias("n2")).collect()}
+    shapes = {r["shape"]: r for r in rare.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()}
     first = k - SHAPES - 1
     class_tokens, discount, unseen = np.maximum(columns, 1.0), np.zeros(k), np.full(k, -np.inf)
     for s in range(SHAPES):

@@ -6,9 +6,10 @@ import hashlib
 
 import numpy as np
 
-from tessera.llm.words import mix
+from tessera.llm.words import mix, stream
 
 ROUNDS = 6
+_TURNS = stream(61, ROUNDS)
 
 
 def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -28,8 +29,8 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     while len(todo):
         h, m, k = half[todo], mask[todo], key[todo]
         left, right = out[todo] >> h, out[todo] & m
-        for r in range(ROUNDS):
-            left, right = right, left ^ (mix(right + k + np.uint64(r) * np.uint64(0x9E3779B97F4A7C15)) & m)
+        for turn in _TURNS:
+            left, right = right, left ^ (mix((right + k) ^ turn) & m)
         out[todo] = (left << h) | right
         todo = todo[out[todo] >= size[todo]]
     return out.astype(np.int64)
