@@ -30,3 +30,19 @@ def running_sum(df: DataFrame, group: list[str], order: list[str], value: Column
     inside = Window.partitionBy(*group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ranked = dealt.withColumn("_inside", F.coalesce(F.sum("_value").over(inside), F.lit(0)))
     return ranked.join(bases, same).withColumn(out, F.col("_base") + F.col("_inside")).select(*df.columns, out)
+
+
+def rows_above(df: DataFrame, column: str, out: str) -> DataFrame:
+    """``df`` with the number of rows whose ``column`` is greater, as ``out``; 0 for nulls.
+
+    What a self-join on ``<`` would count, from counts of distinct values: those
+    are range-partitioned, each partition's total is summed once, and windows
+    stay inside partitions.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    parts = counts.repartitionByRange(F.desc("_v")).withColumn("_p", F.spark_partition_id())
+    parts = parts.withColumn("_in", F.coalesce(F.sum("_n").over(Window.partitionBy("_p").orderBy(F.desc("_v")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    totals = parts.groupBy("_p").agg(F.sum("_n").alias("_t"))  # a row for each partition
+    before = totals.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    ranked = parts.join(before, F.col("_p") == F.col("_q")).select("_v", (F.col("_in") + F.col("_b")).alias("_above"))
+    return df.join(ranked, F.col(column) == F.col("_v"), "left").withColumn(out, F.coalesce("_above", F.lit(0)).cast("long")).select(*df.columns, out)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tessera.plans import relational
+from tessera.plans import intervals, relational, windows
 
-_MODULES = (relational,)
+_MODULES = (relational, windows, intervals)
 
-QUERIES = {name: q for m in _MODULES for name, q in m.QUERIES.items()}
-ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
+QUERIES = {name: q for m in _MODULES for name, q in m.registry.queries.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.registry.sql.items()}
