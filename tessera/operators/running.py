@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a group that one sort holds, on average.
-SORTED = 50_000
-
 
 def running_sum(df: DataFrame, group: list[str], order: list[str], value: Column | str, out: str, rows: int) -> DataFrame:
     """``df`` with the sum of ``value`` over the rows before each, within its group, as ``out``.
@@ -15,10 +14,11 @@ def running_sum(df: DataFrame, group: list[str], order: list[str], value: Column
     Rows stand in the order of a hash of ``order`` and then of ``order``
     itself: a fixed order that needs no global sort. Each group falls into
     buckets by that hash; sums of buckets give every bucket's base, and a
-    window inside the bucket the rest. ``rows`` is the table's row count.
+    window inside the bucket the rest. ``rows`` is the table's row count; there are
+    as many buckets as its square root, so neither step sorts more rows.
     Null groups are a group of their own. Nulls of ``value`` count as 0.
     """
-    buckets = max(1, rows // SORTED)
+    buckets = max(1, math.isqrt(rows))
     value = F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(0)).cast("long")
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int")).withColumn("_value", value)
     sums = dealt.groupBy(*group, "_bucket").agg(F.sum("_value").alias("_sum"))
