@@ -45,7 +45,7 @@ def _digest(edges: DataFrame) -> tuple:
 
 
 #: Members of a group compared at once: a block holds two slices of this many at most.
-SLICE = 512
+SLICE = 1024
 
 
 def blocks(members: DataFrame, key: str, size: str, node: str) -> DataFrame:

@@ -62,7 +62,7 @@ def _sign(batches, k: int, bands: int, rows: int):
             d1[r], d2[r] = (mix(np.array([mix(s ^ u).sum(dtype=np.uint64)])).view(np.int64)[0] for u in stream(59, 2))
             least = minima(s, bands * rows)
             keys[r] = mix((least.reshape(bands, rows).astype(np.uint64) * weight).sum(axis=1, dtype=np.uint64) + salt).view(np.int64)
-            sigs[r] = least.astype(np.uint8).tobytes()
+            sigs[r] = least.astype(np.uint8).tobytes() + keys[r].astype("<u4").tobytes()
         none = size == 0
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(size), pa.array(d1, mask=none), pa.array(d2, mask=none), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
@@ -103,16 +103,29 @@ def plausible(a: np.ndarray, b: np.ndarray, threshold: float, miss: float, batch
     return alive
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, np.uint8).reshape(len(column), -1)
+def _signatures(column: pa.Array, bands: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signature bytes of each row, and its bands' keys cut to 32 bits."""
+    whole = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    own = whole.shape[1] - 4 * bands
+    return whole[:, :own], np.ascontiguousarray(whole[:, own:]).view("<u4")
 
 
-def _prune(batches, percent: int, miss: float):
+def _prune(batches, bands: int, percent: int, miss: float):
     for batch in batches:
         if batch.num_rows:
-            keep = plausible(_matrix(batch.column(2)), _matrix(batch.column(3)), percent / 100, miss)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], ["a", "b"])
+            a, b = (_signatures(batch.column(k), bands)[0] for k in (2, 3))
+            keep = pa.array(plausible(a, b, percent / 100, miss))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
+
+
+def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
 
 
 def _confirm(batches, k: int, percent: int):
@@ -124,31 +137,61 @@ def _confirm(batches, k: int, percent: int):
             own = column.dictionary_encode()  # a text that many pairs share is cut into shingles once
             sets.append(([shingles(w, k) for _, w in texts(own.dictionary)], own.indices.to_numpy()))
         (left, at), (right, bt) = sets
-        keep = []
-        for r in range(len(a)):
-            x, y = left[at[r]], right[bt[r]]
-            if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)):
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(both) - common):
-                    keep.append(r)
+        keep = [r for r in range(len(a)) if _similar(left[at[r]], right[bt[r]], percent)]
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
 
-def _rest(batches, percent: int, miss: float):
-    """Pairs across components inside blocks of a bucket, pruned by signature."""
+def _meet(batches, bands: int, percent: int, miss: float, k: int | None):
+    """Pairs across components inside blocks of a bucket.
+
+    A pair counts in the first band that it shares and is pruned by signature.
+    Without ``k``, the members that have some pair left are returned; with it,
+    whole texts are compared, and of the links that hold a spanning forest.
+    """
     for t in graph.runs(batches, ["key", "i", "j"]):
         begins = graph.changes(t, ["key", "i", "j"])
-        node, comp, part, n = (t.column(c).to_numpy() for c in ("node", "component", "slice", "n"))
+        key, node, comp, part, n = (t.column(c).to_numpy() for c in ("key", "node", "component", "slice", "n"))
         across = t.column("i").to_numpy() != t.column("j").to_numpy()
-        sig = _matrix(t.column("sig"))
-        for i, j in graph.pairs(begins, 1 << 16):
+        sig, band = _signatures(t.column("sig"), bands)
+        here = (band == key.astype(np.uint32)[:, None]).argmax(axis=1)
+        got_i, got_j = [], []
+        for i, j in graph.pairs(begins, 1 << 15):
             ok = (comp[i] != comp[j]) & (~across[i] | (part[i] != part[j]))
             ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
             i, j = i[ok], j[ok]
+            ok = (band[i] == band[j]).argmax(axis=1) == here[i]
+            i, j = i[ok], j[ok]
             keep = plausible(sig[i], sig[j], percent / 100, miss)
-            yield pa.RecordBatch.from_arrays([pa.array(node[i[keep]]), pa.array(node[j[keep]])], ["a", "b"])
+            got_i.append(i[keep])
+            got_j.append(j[keep])
+        i, j = (np.concatenate([np.zeros(0, np.int64), *g]) for g in (got_i, got_j))
+        if k is None:
+            at = pa.array(np.unique(np.concatenate([i, j])))
+            yield t.select(["key", "i", "j", "slice", "node", "component"]).take(at).combine_chunks().to_batches()[0] if len(at) else _nothing(t)
+            continue
+        used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
+        sets = [s for _, s in ((r, shingles(w, k)) for r, w in texts(t.column("text").take(pa.array(used))))]
+        left, right = back[: len(i)], back[len(i) :]
+        groups, own = np.unique(comp[used], return_inverse=True)
+        root = np.arange(len(groups))
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        links = []
+        for x, y in zip(left.tolist(), right.tolist(), strict=True):
+            a, b = top(own[x]), top(own[y])
+            if a != b and _similar(sets[x], sets[y], percent):
+                root[max(a, b)] = min(a, b)
+                links.append((x, y))
+        a, b = (used[[link[m] for link in links]] if links else np.zeros(0, np.int64) for m in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
+
+
+def _nothing(t: pa.Table) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([], schema=t.select(["key", "i", "j", "slice", "node", "component"]).schema)
 
 
 def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, miss: float = MISS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -158,8 +201,9 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     distinct shingles, confirmed on whole sets; a component is what links
     reach. Texts with equal sets are one node. Every member of a bucket is
     first compared with the bucket's smallest id; only where a bucket still
-    holds several components do its other members meet, in bounded blocks, so
-    groups of copies never become all pairs and no bucket is capped.
+    holds several components do its other members meet, in bounded blocks that
+    return links of a spanning forest: groups of copies never become pairs in a
+    table, and no bucket is capped.
 
     Null, empty or blank texts: n_shingles 0, no links. Texts shorter than a
     shingle: the whole sequence is the one shingle. Null ids: component null,
@@ -180,7 +224,7 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def verified(pairs: DataFrame) -> DataFrame:
         sigs = nodes.select("node", "sig")
         both = pairs.join(sigs.withColumnsRenamed({"node": "a", "sig": "sa"}), "a").join(sigs.withColumnsRenamed({"node": "b", "sig": "sb"}), "b").select("a", "b", "sa", "sb")
-        left = scratch.cut(both.mapInArrow(lambda it: _prune(it, percent, miss), "a long, b long").distinct(), "plausible")
+        left = scratch.cut(both.mapInArrow(lambda it: _prune(it, bands, percent, miss), "a long, b long").distinct(), "plausible")
         own = docs.where("text is not null")
         full = left.join(own.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(own.withColumnsRenamed({"id": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
         return scratch.cut(full.mapInArrow(lambda it: _confirm(it, shingle_words, percent), "a long, b long"), "links")
@@ -199,10 +243,13 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Round 3: members of a bucket that holds several components meet each other.
     spread = labelled(members.where("size > 2"), comp, "node", "component")
     mixed = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    dealt = graph.blocks(spread.join(mixed, "key").drop("pivot"), "key", "size", "node").join(nodes.select("node", "n", "sig"), "node")
+    marks = nodes.select("node", "n", "sig")
+    dealt = graph.blocks(spread.join(mixed, "key").drop("pivot"), "key", "size", "node").join(marks, "node")
     dealt = dealt.select("key", "i", "j", "slice", "node", "component", "n", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    rest = dealt.mapInArrow(lambda it: _rest(it, percent, miss), "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    links = scratch.cut(links.unionByName(verified(rest)), "links")
+    left = scratch.cut(dealt.mapInArrow(lambda it: _meet(it, bands, percent, miss, None), "key long, i int, j int, slice int, node long, component long"), "unsettled")
+    whole = left.join(marks, "node").join(docs.where("text is not null").withColumnRenamed("id", "node"), "node")
+    whole = whole.select("key", "i", "j", "slice", "node", "component", "n", "sig", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    links = scratch.cut(links.unionByName(whole.mapInArrow(lambda it: _meet(it, bands, percent, miss, shingle_words), "a long, b long")), "links")
     comp = graph.components(links, scratch)
 
     known = labelled(classes, comp, "node", "component")
