@@ -6,6 +6,7 @@ folder is the one the cluster names in ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,12 +16,14 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder. A local session without one gets a temporary
-    folder; a cluster without one is an error, since executors would not see
-    each other's files."""
+    """URI of the shared folder, with its scheme. A local session without one
+    gets a temporary folder; a cluster without one is an error, since executors
+    would not see each other's files."""
     conf = spark.sparkContext.getConf()
     if named := conf.get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
+        system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        return re.sub("^file:/+", "file:///", system.makeQualified(at).toString()).rstrip("/")
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
