@@ -187,11 +187,11 @@ def lateral_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT p_partkey FROM part WHERE p_retailprice > (SELECT 1.2 * avg(p2.p_retailprice) FROM part p2 WHERE p2.p_brand = part.p_brand)""")
+    SELECT p_partkey FROM part WHERE p_retailprice > (SELECT 1.02 * avg(p2.p_retailprice) FROM part p2 WHERE p2.p_brand = part.p_brand)""")
 def correlated_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     means = parts.groupBy(F.col("p_brand").alias("brand")).agg(F.avg("p_retailprice").alias("mean"))
-    return parts.join(means, F.col("p_brand") == F.col("brand")).where("p_retailprice > 1.2d * mean").select("p_partkey")
+    return parts.join(means, F.col("p_brand") == F.col("brand")).where("p_retailprice > 1.02d * mean").select("p_partkey")
 
 
 @query("SELECT l_suppkey, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DOUBLE) AS quantity FROM lineitem JOIN events ON l_suppkey = user_id % 40 WHERE event_type = 'purchase' GROUP BY 1")
@@ -257,7 +257,7 @@ def list_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     SELECT o_orderstatus, CAST(count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS BIGINT) AS urgent, CAST(count(*) FILTER (WHERE o_orderpriority = '5-LOW') AS BIGINT) AS low FROM orders GROUP BY 1""")
 def pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = table(spark, sf_dir, "orders").groupBy("o_orderstatus").pivot("o_orderpriority", ["1-URGENT", "5-LOW"]).agg(F.count("*"))
+    wide = table(spark, sf_dir, "orders").groupBy("o_orderstatus").pivot("o_orderpriority", ["1-URGENT", "5-LOW"]).agg(F.count(F.lit(1)))
     return wide.select("o_orderstatus", F.coalesce("1-URGENT", F.lit(0)).cast("long").alias("urgent"), F.coalesce("5-LOW", F.lit(0)).cast("long").alias("low"))
 
 

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 #: Options that make a format keep nulls, line breaks and time stamps as they are.
+_MICROS = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"
+_TIMES = {"timestampNTZFormat": _MICROS, "timestampFormat": _MICROS + "[XXX]"}
 OPTIONS: dict[str, dict[str, str]] = {
-    "csv": {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "nullValue": "\\N", "emptyValue": ""},
-    "json": {"ignoreNullFields": "false"},
-    "xml": {"rowTag": "row"},
+    "csv": {"header": "true", "multiLine": "true", "quote": '"', "escape": '"', "nullValue": "\\N", **_TIMES},
+    "json": {"ignoreNullFields": "false", **_TIMES},
+    "xml": {"rowTag": "row", **_TIMES},
     "parquet": {},
     "orc": {},
     "text": {"lineSep": "\n"},
