@@ -141,6 +141,10 @@ def _confirm(batches, k: int, percent: int):
         yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
 
+#: What a member brings to a block.
+_BLOCK = ["key", "i", "j", "slice", "node", "component", "n", "sig"]
+
+
 def _meet(batches, bands: int, percent: int, miss: float, k: int | None):
     """Pairs across components inside blocks of a bucket.
 
@@ -167,7 +171,7 @@ def _meet(batches, bands: int, percent: int, miss: float, k: int | None):
         i, j = (np.concatenate([np.zeros(0, np.int64), *g]) for g in (got_i, got_j))
         if k is None:
             at = pa.array(np.unique(np.concatenate([i, j])))
-            yield t.select(["key", "i", "j", "slice", "node", "component"]).take(at).combine_chunks().to_batches()[0] if len(at) else _nothing(t)
+            yield t.select(_BLOCK).take(at).combine_chunks().to_batches()[0] if len(at) else _nothing(t)
             continue
         used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
         sets = [s for _, s in ((r, shingles(w, k)) for r, w in texts(t.column("text").take(pa.array(used))))]
@@ -191,7 +195,7 @@ def _meet(batches, bands: int, percent: int, miss: float, k: int | None):
 
 
 def _nothing(t: pa.Table) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([], schema=t.select(["key", "i", "j", "slice", "node", "component"]).schema)
+    return pa.RecordBatch.from_pylist([], schema=t.select(_BLOCK).schema)
 
 
 def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, percent: int = 80, miss: float = MISS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -245,10 +249,10 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     mixed = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     marks = nodes.select("node", "n", "sig")
     dealt = graph.blocks(spread.join(mixed, "key").drop("pivot"), "key", "size", "node").join(marks, "node")
-    dealt = dealt.select("key", "i", "j", "slice", "node", "component", "n", "sig").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    left = scratch.cut(dealt.mapInArrow(lambda it: _meet(it, bands, percent, miss, None), "key long, i int, j int, slice int, node long, component long"), "unsettled")
-    whole = left.join(marks, "node").join(docs.where("text is not null").withColumnRenamed("id", "node"), "node")
-    whole = whole.select("key", "i", "j", "slice", "node", "component", "n", "sig", "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = dealt.select(_BLOCK).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    left = scratch.cut(dealt.mapInArrow(lambda it: _meet(it, bands, percent, miss, None), dealt.schema), "unsettled")
+    whole = left.join(docs.where("text is not null").withColumnRenamed("id", "node"), "node")
+    whole = whole.select(*_BLOCK, "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     links = scratch.cut(links.unionByName(whole.mapInArrow(lambda it: _meet(it, bands, percent, miss, shingle_words), "a long, b long")), "links")
     comp = graph.components(links, scratch)
 
