@@ -224,7 +224,7 @@ def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
     SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE value > 50) AS high, min(value) AS lo, max(value) AS hi,
-      round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(var_pop(value), 6) AS var, median(value) AS mid, bool_or(value > 99) AS any_high, bool_and(value >= 0) AS all_low
+      round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(var_pop(value), 6) AS var, round(median(value), 6) AS mid, bool_or(value > 99) AS any_high, bool_and(value >= 0) AS all_low
     FROM events GROUP BY event_type""")
 def event_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(
@@ -234,11 +234,11 @@ def event_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT event_type, quantile_cont(value, 0.9) AS p90, quantile_cont(value, 0.25) AS p25, round(corr(value, user_id), 6) AS r, round(regr_slope(value, user_id), 6) AS slope, round(covar_samp(value, user_id), 4) AS cov FROM events GROUP BY 1")
+@query("SELECT event_type, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.25), 6) AS p25, round(corr(value, user_id), 6) AS r, round(regr_slope(value, user_id), 6) AS slope, round(covar_samp(value, user_id), 4) AS cov FROM events GROUP BY 1")
 def percentiles_and_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     return events.groupBy("event_type").agg(
-        F.percentile("value", 0.9).alias("p90"), F.percentile("value", 0.25).alias("p25"), F.round(F.corr("value", "user_id"), 6).alias("r"),
+        F.round(F.percentile("value", 0.9), 6).alias("p90"), F.round(F.percentile("value", 0.25), 6).alias("p25"), F.round(F.corr("value", "user_id"), 6).alias("r"),
         F.round(F.regr_slope("value", "user_id"), 6).alias("slope"), F.round(F.covar_samp("value", "user_id"), 4).alias("cov"),
     )
 

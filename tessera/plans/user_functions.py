@@ -23,13 +23,13 @@ def scalar_python_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", tag("p_brand", "p_size").alias("tag"))
 
 
-@query("SELECT o_orderkey, round(o_totalprice * 1.19, 2) AS gross FROM orders")
+@query("SELECT o_orderkey, o_totalprice * 1.25 AS gross FROM orders")
 def vectorised_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     @F.pandas_udf("double")
     def gross(net: pd.Series) -> pd.Series:
-        return net * 1.19
+        return net * 1.25
 
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(gross("o_totalprice"), 2).alias("gross"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", gross("o_totalprice").alias("gross"))
 
 
 @query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes FROM documents")
@@ -76,12 +76,12 @@ def partition_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.mapInPandas(doubled, "l_orderkey long, l_linenumber int, l_partkey long, doubled double")
 
 
-@query("SELECT user_id, event_id, round(value - avg(value) OVER (PARTITION BY user_id), 6) AS off FROM events")
+@query("SELECT user_id, event_id, value - min(value) OVER (PARTITION BY user_id) AS above FROM events")
 def grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def centred(f: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": f["user_id"], "event_id": f["event_id"], "off": (f["value"] - f["value"].mean()).round(6)})
+    def above_least(f: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": f["user_id"], "event_id": f["event_id"], "above": f["value"] - f["value"].min()})
 
-    return table(spark, sf_dir, "events").groupBy("user_id").applyInPandas(centred, "user_id long, event_id long, off double")
+    return table(spark, sf_dir, "events").groupBy("user_id").applyInPandas(above_least, "user_id long, event_id long, above double")
 
 
 @query("SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS customers, coalesce(b.n, 0) AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k")
