@@ -13,10 +13,12 @@ attempt; what a lost or repeated task leaves behind is in no manifest.
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import re
 import uuid
 import zlib
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
@@ -26,20 +28,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words whose ids a worker remembers; beyond it starts anew.
-REMEMBERED = 300_000
-#: Letters that normalisation leaves alone but for case, in UTF-8: no word of them is cut by the tokenizer's pattern.
-_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-_TAIL = b".,;:!?"
+from tessera.llm import words
+
+#: Words whose ids a worker remembers, about 30 bytes each; beyond it starts anew.
+REMEMBERED = 2_000_000
+#: Bytes of text encoded at once.
+CHUNK = 1 << 21
+#: Letters that normalisation leaves alone but for case, in UTF-8, between runs of ASCII punctuation. The tokenizer's
+#: pattern always cuts between letters and punctuation, but for an apostrophe before letters; "<" could begin the name
+#: of a special token.
+_SIMPLE = re.compile(rb"([!-&(-/:;=-@\[-`{-~]*)((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 NO_ID = -(2**63)
 
 
 class Encoder:
-    """Ids of whole texts, as bytes. With ``by_word``, each distinct word is encoded once.
+    """Ids of whole texts. With ``by_word``, each distinct word is encoded once.
 
-    ``by_word`` is for tokenizers that drop white space and never look across
-    it: the ids of a text are then those of its words, end to end. Only ASCII
-    white space divides words here; anything else is left to the library.
+    ``by_word`` is for tokenizers that drop white space, never look across it
+    and cut between letters and punctuation: the ids of a text are then those
+    of its words, end to end. Only ASCII white space divides words here, and
+    only plain words are taken apart; anything else is left to the library.
+    Words are told apart by 64-bit hashes.
     """
 
     def __init__(self, path: str, by_word: bool, end_id: int):
@@ -50,60 +59,76 @@ class Encoder:
         self.dtype = "<u2" if max([end_id, *vocab.values()]) < 1 << 16 else "<u4"
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.by_word, self.end, self.known = by_word, np.array([end_id], self.dtype).tobytes(), {}
+        self.by_word, self.end_id = by_word, end_id
+        self.forget()
 
-    def _bytes(self, ids) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+    def forget(self) -> None:
+        """Keys of known words in order, each with its place in the flat ids; the end id is at place 0."""
+        self.keys = np.zeros(0, np.uint64)
+        self.place, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.used = np.full(1 << 16, self.end_id, self.dtype), 1
 
-    def _each(self, texts: list[str]) -> list[bytes]:
-        return [self._bytes(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _each(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _runs(self, words: list[bytes]) -> list[bytes]:
+    def _runs(self, words: list[bytes]) -> list[list[int]]:
         """Ids of words of letters: many in one text, told apart by the tokens that end words."""
         out = []
         for lo in range(0, len(words), 256):
             part = words[lo : lo + 256]
-            ids = np.array(self.library.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(part):
-                raw, width = ids.astype(self.dtype).tobytes(), np.dtype(self.dtype).itemsize
-                bounds = [0, *(ends * width).tolist()]
-                out += [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-            else:
-                out += self._each([w.decode() for w in part])
+            ids = self._each([b" ".join(part).decode()])[0]
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            out += [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)] if len(ends) == len(part) else self._each([w.decode() for w in part])
         return out
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        new = words - self.known.keys()
-        bare = {w: w.rstrip(_TAIL) for w in new}
-        simple = {b for w, b in bare.items() if _LETTERS.fullmatch(b)}
-        tails = {w[len(b) :] for w, b in bare.items() if b in simple and len(b) < len(w)}
-        need = sorted(simple - self.known.keys())
-        self.known.update(zip(need, self._runs(need), strict=True))
-        rest = sorted({w for w, b in bare.items() if b not in simple} | (tails - self.known.keys()))
-        self.known.update(zip(rest, self._each([w.decode() for w in rest]), strict=True))
-        for w, b in bare.items():
-            if b in simple and len(b) < len(w):
-                self.known[w] = self.known[b] + self.known[w[len(b) :]]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids and the end id."""
-        if not self.by_word:
-            return [ids + self.end for ids in self._each([t.decode() for t in texts])]
-        out = []
-        lo = 0
-        while lo < len(texts):  # as many texts at a time as have a bounded number of words
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi]) < 1 << 20):
-                size += len(texts[hi])
-                hi += 1
-            cut = [t.split() for t in texts[lo:hi]]
-            self.learn(set().union(*cut))
-            out += [b"".join([*map(self.known.__getitem__, w), self.end]) for w in cut]
-            lo = hi
-        return out
+    def _words(self, words: list[bytes]) -> list[list[int]]:
+        parts = [m.groups() if (m := _SIMPLE.fullmatch(w)) else None for w in words]
+        bare = list({p[1] for p in parts if p})
+        ids = dict(zip(bare, self._runs(bare), strict=True))
+        other = list({w for w, p in zip(words, parts, strict=True) if not p}.union(*((p[0], p[2]) for p in parts if p and (p[0] or p[2]))))
+        more = dict(zip(other, self._each([w.decode() for w in other]), strict=True))
+        return [more[w] if not p else more[p[0]] + ids[p[1]] + more[p[2]] if p[0] or p[2] else ids[p[1]] for w, p in zip(words, parts, strict=True)]
+
+    def _learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        gc.disable()  # the many small lists made here hold no cycles
+        try:
+            ids = self._words(words)
+        finally:
+            gc.enable()
+        length = np.array([len(i) for i in ids], np.int64)
+        total = int(length.sum())
+        if self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), total), self.dtype)])
+        self.flat[self.used : self.used + total] = np.fromiter((x for i in ids for x in i), self.dtype, total)
+        place = self.used + np.cumsum(length) - length
+        self.used += total
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.place, self.length = (np.insert(old, at, new) for old, new in ((self.keys, keys), (self.place, place), (self.length, length)))
+
+    def encode(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pieces of the column's ids, each with its rows' counts; every row ends with the end id."""
+        data, offsets = words.buffers(column)
+        for lo, hi in words.chunks(offsets, CHUNK):
+            part = offsets[lo : hi + 1]
+            if not self.by_word:
+                own = [[*i, self.end_id] for i in self._each([bytes(data[a:b]).decode() for a, b in zip(part, part[1:], strict=False)])]
+                yield np.concatenate([np.array(i, self.dtype) for i in own]), np.array([len(i) for i in own], np.int64)
+                continue
+            keys, rows = words.hashed(data, part, lower=False)
+            distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
+            if len(self.keys) > REMEMBERED:
+                self.forget()
+            at = np.searchsorted(self.keys, distinct)
+            new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != distinct) if len(self.keys) else np.arange(len(distinct))
+            if len(new):
+                starts, ends, _ = words.spans(data, part)
+                raw = data[part[0] : part[-1]].tobytes()
+                self._learn(distinct[new], [raw[starts[k] : ends[k]] for k in first[new]])
+                at = np.searchsorted(self.keys, distinct)
+            place, length = np.insert(self.place[at][back], rows[1:], 0), np.insert(self.length[at][back], rows[1:], 1)
+            stops = np.cumsum(length)
+            ids = self.flat[np.repeat(place - stops + length, length) + np.arange(stops[-1])]
+            yield ids, np.add.reduceat(length, rows[:-1] + np.arange(hi - lo))
 
 
 @functools.lru_cache(2)
@@ -157,14 +182,10 @@ def write_tokens(docs: DataFrame, directory: str, tokenizer: str, end_id: int, b
             if files is None:
                 fs, path = pafs.FileSystem.from_uri(name)
                 coder, files = encoder(tokenizer, by_word, end_id), [fs.open_output_stream(f"{path}.{kind}") for kind in ("tokens", "ids")]
-            width = np.dtype(coder.dtype).itemsize
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                ids = coder.encode(part.column("text").cast(pa.binary()).to_pylist())
-                for b in ids:
-                    files[0].write(b)
-                lengths.append(np.array([len(b) // width for b in ids], "<u8"))
-                files[1].write(part.column("id").fill_null(NO_ID).to_numpy().astype("<i8").tobytes())
+            for ids, counts in coder.encode(batch.column("text")):
+                files[0].write(ids.tobytes())
+                lengths.append(counts)
+            files[1].write(batch.column("id").fill_null(NO_ID).to_numpy().astype("<i8").tobytes())
         if files is None:
             return
         offsets = np.concatenate([np.zeros(1, "<u8"), np.cumsum(np.concatenate(lengths), dtype="<u8")])

@@ -93,13 +93,13 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, off)
 
 
-def hashed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word and each row's word offsets."""
+def hashed(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word and each row's word offsets; ``lower`` takes A-Z for a-z."""
     starts, ends, at = spans(data, offsets)
     if not len(starts):
         return np.zeros(0, U64), at
     raw = data[offsets[0] : offsets[-1]]
-    value = LOWER[raw].astype(U64) + U64(1)
+    value = (LOWER[raw] if lower else raw).astype(U64) + U64(1)
     value[SEPARATOR[raw]] = 0
     value = value[starts[0] :]
     begin = starts - starts[0]
