@@ -95,6 +95,7 @@ def _start(docs: list[np.ndarray], y: np.ndarray, rng) -> Model:
         for ids, label in zip(docs, y, strict=True):
             seen[label, np.unique(ids[:, k])] += 1
         rate = (seen + 4 * seen.sum(axis=1, keepdims=True) / max(1.0, seen.sum())) / max(1.0, seen.sum())
+        rate = np.maximum(rate, 1e-12)
         odds = np.log(rate[1] / rate[0]) - np.log(max(1e-9, seen[1].sum()) / max(1e-9, seen[0].sum()))
         embed[k, :, 0] = np.clip(odds, -1, 4) / 2
     filters = {w: rng.normal(0, 0.2, (w, 2, HALF, FILTERS)).astype(np.float32) for w in WIDTHS}
