@@ -114,7 +114,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     first = np.cumsum(counts, axis=0) - counts
     runs = [(h, k, int(first[h, k]), int(counts[h, k]), sources[k].blocks, int(mix(np.array([seed * 1_000_003 + k], np.uint64)).view(np.int64)[0])) for h in range(shards) for k in range(len(sources)) if counts[h, k]]
     run = spark.createDataFrame(runs, "shard int, source_id int, first long, n long, blocks long, key long")
-    parts = run.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN)))).repartition("shard", "source_id", "part")
+    parts = run.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))))
+    parts = parts.repartition(max(1, sum(s.slots for s in sources) // (4 * RUN)), "shard", "source_id", "part")  # by slots: rows look small to adaptive execution
     end = F.least(F.col("n"), (F.col("part") + 1) * RUN)
     counted = parts.select("shard", "source_id", "blocks", "key", F.explode(F.sequence(F.col("first") + F.col("part") * RUN, F.col("first") + end - 1)).alias("slot"))
 
