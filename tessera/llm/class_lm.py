@@ -28,8 +28,8 @@ HELD = 131_072
 #: other punctuation, digit, ASCII letter, other. The document's end is a class too.
 SHAPES = 6
 END = np.uint64(0x5A5A5A5A5A5A5A5B)
-#: Words of a task whose counts are held before they are passed on.
-BUFFER = 1 << 20
+#: Words of a task whose counts are held before they are passed on; merging needs several times their memory.
+BUFFER = 1 << 19
 
 _SHAPE = np.full(256, 5, np.int64)
 _SHAPE[[c for c in range(128) if not chr(c).isalnum()]] = 2
@@ -244,7 +244,7 @@ def _score(batches, model: Model, end_count: int):
     row = TaskContext.get().partitionId() << 33
     struct = pa.struct([("h", pa.int64()), ("class", pa.int32()), ("n", pa.int32())])
     end_base = np.log10(end_count + 0.5) - model.base_log
-    for b in batches:
+    for b in (b.slice(lo, 1024) for b in batches for lo in range(0, b.num_rows, 1024)):
         n = b.num_rows
         size, known, base, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
         rest_h, rest_c, rest_n, rest_at = [], [], [], np.zeros(n, np.int64)
