@@ -248,10 +248,16 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spread = labelled(members.where("size > 2"), comp, "node", "component")
     mixed = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     marks = nodes.select("node", "n", "sig")
-    dealt = graph.blocks(spread.join(mixed, "key").drop("pivot"), "key", "size", "node").join(marks, "node")
+    # a member meets its signature, and later its text, once and not in every bucket; it has one bucket a band at most
+    held = spread.join(mixed, "key").groupBy("node", "component").agg(F.collect_list(F.struct("key", "size")).alias("buckets"))
+    held = held.join(marks, "node").select("node", "component", "n", "sig", F.explode("buckets").alias("bucket"))
+    dealt = graph.blocks(held.select("node", "component", "n", "sig", "bucket.*"), "key", "size", "node")
     dealt = dealt.select(_BLOCK).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     left = scratch.cut(dealt.mapInArrow(lambda it: _meet(it, bands, percent, miss, None), dealt.schema), "unsettled")
-    whole = left.join(docs.where("text is not null").withColumnRenamed("id", "node"), "node")
+    place = F.struct("key", "i", "j", "slice")
+    once = left.groupBy("node", "component", "n", "sig").agg(F.collect_list(place).alias("places"))
+    whole = once.join(docs.where("text is not null").withColumnRenamed("id", "node"), "node").select("node", "component", "n", "sig", "text", F.explode("places").alias("place"))
+    whole = whole.select("node", "component", "n", "sig", "text", "place.*")
     whole = whole.select(*_BLOCK, "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     links = scratch.cut(links.unionByName(whole.mapInArrow(lambda it: _meet(it, bands, percent, miss, shingle_words), "a long, b long")), "links")
     comp = graph.components(links, scratch)
