@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.feistel import permute
-from tessera.llm.words import mix, spans
+from tessera.llm.words import buffers, mix, spans
 from tessera.operators.running import running_sum
 from tessera.sources.scratch import Scratch
 
@@ -165,20 +165,23 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     @F.arrow_udf("string")
     def cut(text: pa.Array, cuts: pa.Array) -> pa.Array:
+        data, offsets = buffers(text)
+        at, fields = cuts.offsets.to_numpy(), [cuts.values.field(k).to_numpy() for k in ("first", "words", "uses")]
         out = []
-        for t, c in zip(text.to_pylist(), cuts.to_pylist(), strict=True):
-            raw = np.frombuffer(t.encode(), np.uint8)
-            starts, ends, _ = spans(raw, np.array([0, len(raw)]))
+        for r in range(len(text)):
+            own = offsets[r : r + 2]
+            raw = data[own[0] : own[1]].tobytes()
+            starts, ends, _ = spans(data, own)
             stops = np.append(starts[1:], ends[-1:])
-            text_ = []
-            for again in (1, 2, *range(3, 1 + max((p["uses"] for p in c), default=0))):
-                for p in c:
-                    if p["uses"] >= again and p["words"]:
-                        text_.append(raw[starts[p["first"]] : stops[p["first"] + p["words"] - 1]].tobytes())
-                if text_ and not text_[-1][-1:].isspace():
-                    text_.append(b" ")
-            out.append(b"".join(text_).strip().decode())
-        return pa.array(out, pa.string())
+            first, words, uses = (f[at[r] : at[r + 1]] for f in fields)
+            taken = []
+            for again in range(1, 1 + int(uses.max(initial=0))):
+                now = (uses >= again) & (words > 0)
+                taken += [raw[a:b] for a, b in zip(starts[first[now]].tolist(), stops[(first + words - 1)[now]].tolist(), strict=True)]
+                if taken and not taken[-1][-1:].isspace():
+                    taken.append(b" ")
+            out.append(b"".join(taken).strip())
+        return pa.array(out, pa.binary()).cast(pa.string())
 
     joined = own.join(numbered, same).withColumn(text_col, cut(F.col(text_col), F.col("_cuts")))
     if length_col in docs.columns:
