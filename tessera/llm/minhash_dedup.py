@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import graph
-from tessera.llm.words import mix, shingles, stream, texts
+from tessera.llm.words import lean, mix, shingles, stream, texts
 from tessera.sources.scratch import Scratch
 
 #: At the lowest similarity linked, 0.8, a band of 6 agrees with probability
@@ -216,7 +216,7 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     scratch = Scratch(df.sparkSession, "minhash")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    meta = scratch.cut(docs.mapInArrow(lambda it: _sign(it, shingle_words, bands, rows), _META), "meta")
+    meta = scratch.cut(docs.mapInArrow(lambda it: lean(_sign(it, shingle_words, bands, rows)), _META), "meta")
     classes = scratch.cut(meta.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("node")), "classes")
     stand = meta.join(classes, ["d1", "d2", "n"]).where("id = node").select("node", "n", "bands", "sig")
     nodes = scratch.cut(stand.dropDuplicates(["node", "sig"]), "nodes")
@@ -228,10 +228,10 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def verified(pairs: DataFrame) -> DataFrame:
         sigs = nodes.select("node", "sig")
         both = pairs.join(sigs.withColumnsRenamed({"node": "a", "sig": "sa"}), "a").join(sigs.withColumnsRenamed({"node": "b", "sig": "sb"}), "b").select("a", "b", "sa", "sb")
-        left = scratch.cut(both.mapInArrow(lambda it: _prune(it, bands, percent, miss), "a long, b long").distinct(), "plausible")
+        left = scratch.cut(both.mapInArrow(lambda it: lean(_prune(it, bands, percent, miss)), "a long, b long").distinct(), "plausible")
         own = docs.where("text is not null")
         full = left.join(own.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(own.withColumnsRenamed({"id": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
-        return scratch.cut(full.mapInArrow(lambda it: _confirm(it, shingle_words, percent), "a long, b long"), "links")
+        return scratch.cut(full.mapInArrow(lambda it: lean(_confirm(it, shingle_words, percent)), "a long, b long"), "links")
 
     def labelled(frame: DataFrame, comp: DataFrame, column: str, out: str) -> DataFrame:
         named = comp.select(F.col("node").alias(column), F.col("component").alias(out))
@@ -253,13 +253,13 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = held.join(marks, "node").select("node", "component", "n", "sig", F.explode("buckets").alias("bucket"))
     dealt = graph.blocks(held.select("node", "component", "n", "sig", "bucket.*"), "key", "size", "node")
     dealt = dealt.select(_BLOCK).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    left = scratch.cut(dealt.mapInArrow(lambda it: _meet(it, bands, percent, miss, None), dealt.schema), "unsettled")
+    left = scratch.cut(dealt.mapInArrow(lambda it: lean(_meet(it, bands, percent, miss, None)), dealt.schema), "unsettled")
     place = F.struct("key", "i", "j", "slice")
     once = left.groupBy("node", "component", "n", "sig").agg(F.collect_list(place).alias("places"))
     whole = once.join(docs.where("text is not null").withColumnRenamed("id", "node"), "node").select("node", "component", "n", "sig", "text", F.explode("places").alias("place"))
     whole = whole.select("node", "component", "n", "sig", "text", "place.*")
     whole = whole.select(*_BLOCK, "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    links = scratch.cut(links.unionByName(whole.mapInArrow(lambda it: _meet(it, bands, percent, miss, shingle_words), "a long, b long")), "links")
+    links = scratch.cut(links.unionByName(whole.mapInArrow(lambda it: lean(_meet(it, bands, percent, miss, shingle_words)), "a long, b long")), "links")
     comp = graph.components(links, scratch)
 
     known = labelled(classes, comp, "node", "component")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.feistel import permute
-from tessera.llm.words import buffers, mix, spans
+from tessera.llm.words import buffers, mix, release, spans
 from tessera.operators.running import running_sum
 from tessera.sources.scratch import Scratch
 
@@ -181,6 +181,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 if taken and not taken[-1][-1:].isspace():
                     taken.append(b" ")
             out.append(b"".join(taken).strip())
+        release()
         return pa.array(out, pa.binary()).cast(pa.string())
 
     joined = own.join(numbered, same).withColumn(text_col, cut(F.col(text_col), F.col("_cuts")))

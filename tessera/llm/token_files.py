@@ -33,7 +33,7 @@ from tessera.llm import words
 #: Words whose ids a worker remembers, about 30 bytes each; beyond it starts anew.
 REMEMBERED = 2_000_000
 #: Bytes of text encoded at once.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 #: Letters that normalisation leaves alone but for case, in UTF-8, between runs of ASCII punctuation. The tokenizer's
 #: pattern always cuts between letters and punctuation, but for an apostrophe before letters; "<" could begin the name
 #: of a special token.
@@ -195,7 +195,7 @@ def write_tokens(docs: DataFrame, directory: str, tokenizer: str, end_id: int, b
             f.write(offsets.astype("<u8").tobytes())
         yield pa.RecordBatch.from_pydict({"order": [TaskContext.get().partitionId()], "path": [name], "docs": [len(offsets) - 1], "tokens": [int(offsets[-1])]}, schema=pa.schema([("order", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
-    parts = [Part(*r) for r in sorted(ranged.mapInArrow(write, "order int, path string, docs long, tokens long").collect())]  # one row for each partition
+    parts = [Part(*r) for r in sorted(ranged.mapInArrow(lambda it: words.lean(write(it)), "order int, path string, docs long, tokens long").collect())]  # one row for each partition
     docs_before = tokens_before = 0
     for p in parts:
         p.doc_base, p.token_base = docs_before, tokens_before
@@ -236,4 +236,4 @@ def read_tokens(spark: SparkSession, manifest: Manifest, ids: bool = False) -> D
                         columns.append(pa.array([t.astype(np.int64) for t in cut], pa.list_(pa.int64())))
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    return parts.mapInArrow(read, schema)
+    return parts.mapInArrow(lambda it: words.lean(read(it)), schema)

@@ -197,9 +197,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))  # positives + negatives rows at most
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
-    rows = texts.join(picked, "id").mapInArrow(_bucketed, "id long, y int, lang string, ids binary").collect()
+    rows = texts.join(picked, "id").mapInArrow(lambda it: words.lean(_bucketed(it)), "id long, y int, lang string, ids binary").collect()
     rows.sort(key=lambda r: (r["id"], bytes(r["ids"])))
-    ids = [np.frombuffer(bytes(r["ids"]), np.uint16).astype(np.int64).reshape(-1, 2) for r in rows]
+    ids = [np.frombuffer(r["ids"], np.uint16).reshape(-1, 2) for r in rows]
     y = np.array([r["y"] for r in rows], np.int64)
     apart = np.zeros(len(rows), bool)
     for k in (0, 1):  # both classes are needed on either side
@@ -238,7 +238,9 @@ def scorer(spark, model: Model):
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        return pa.array(shared.value.scores(text), pa.float64())
+        out = pa.array(shared.value.scores(text), pa.float64())
+        words.release()
+        return out
 
     return score
 

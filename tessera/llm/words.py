@@ -7,7 +7,8 @@ texts count as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,22 @@ PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 32
 CHUNK = 1 << 18
 
 
+def lean(batches: Iterable) -> Iterator:
+    """The batches of a task; at its end the worker, which stays for other tasks, gives freed memory back."""
+    try:
+        yield from batches
+    finally:
+        release()
+
+
+def release() -> None:
+    """Returns freed memory to the system; Arrow's pool and the C library keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (splitmix64's finaliser)."""
     x = x ^ (x >> U64(30))
