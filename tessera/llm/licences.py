@@ -8,6 +8,10 @@ notices of one line are found inside other text.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,6 +97,27 @@ def known_texts() -> list[tuple[str, str]]:
     return notices + TEXTS + [(k, f"{TITLES[k]}\n\n{t}") for k, t in TEXTS if k in TITLES] + [(k, f"The {TITLES[k]} ({k})\n\n{t}") for k, t in TEXTS if k in TITLES]
 
 
+#: Words that a step of normalisation can write; "licen" is in whatever becomes one with "licens".
+_WRITTEN = re.compile(r"licens|[0-9]|^(and|version|gpl|copyright|holder)$")
+
+
+def literals(forms: list[str]) -> list[str] | None:
+    """Strings of which every text with one of these canonical forms holds at least one, in lower case.
+
+    A greedy cover by words that normalisation only copies. None if some form
+    has no such word: then nothing can be ruled out.
+    """
+    words = [{w for w in f.split() if len(w) > 4 and not _WRITTEN.search(w)} | ({"licen"} if "licens" in f else set()) for f in forms]
+    out = []
+    while words:
+        best = max(sorted(Counter(w for own in words for w in own).items()), key=lambda x: x[1], default=None)
+        if best is None or not all(words):
+            return None
+        out.append(best[0])
+        words = [own for own in words if best[0] not in own]
+    return out
+
+
 def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: list[tuple[str, str]] = ()) -> DataFrame:
     """Licences found: (id, licence, unit, line, digest), unit ``text`` for a whole document or ``line``.
 
@@ -107,10 +132,19 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     looked up.
     """
     spark = docs.sparkSession
-    known = spark.createDataFrame([*known_texts(), *extra], "licence string, text string").select("licence", F.md5(canonical(F.col("text"))).alias("digest")).groupBy("digest").agg(F.min("licence").alias("licence"))
-    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    known = spark.createDataFrame([*known_texts(), *extra], "licence string, text string").select("licence", canonical(F.col("text")).alias("form"))
+    rows = known.groupBy("form").agg(F.min("licence").alias("licence")).collect()  # the list of code and what the caller adds
+    known = spark.createDataFrame([(r["licence"], r["form"]) for r in rows], "licence string, form string").select("licence", F.md5("form").alias("digest"))
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text <> ''")
+    needed = literals([r["form"] for r in rows])
+    if needed is not None:
+        # what holds none of the literals has no known form; the steps of normalisation are for the rest
+        likely = lambda: reduce(Column.__or__, (F.contains(F.lower("text"), F.lit(w)) for w in needed))
+        own = own.where(likely())
     units = own.select("id", F.posexplode(F.split("text", "\n")).alias("line", "text")).unionByName(own.select("id", F.lit(-1).alias("line"), "text"))
-    form = units.where("text <> ''").withColumn("canonical", canonical(F.col("text"))).where("canonical <> ''")
+    if needed is not None:
+        units = units.where(likely())
+    form = units.withColumn("canonical", canonical(F.col("text"))).where("canonical <> ''")
     found = form.withColumn("digest", F.md5("canonical")).join(F.broadcast(known), "digest")
     return found.select(F.col("id").alias(id_col), "licence", F.when(F.col("line") < 0, "text").otherwise("line").alias("unit"), F.col("line").cast("long").alias("line"), "digest")
 

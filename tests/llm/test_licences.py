@@ -44,6 +44,13 @@ def test_odd_rows(spark):
     assert found(spark, []) == []
 
 
+def test_literals_rule_out_nothing_known():
+    forms = ["released under mit", "license mit", "mit", "permission is hereby granted"]
+    assert x.literals(forms) is None
+    kept = x.literals([f for f in forms if f != "mit"])
+    assert all(any(w in f for w in kept) for f in forms if f != "mit") and "licen" in kept
+
+
 def test_sql_gives_the_same(spark):
     texts = [(1, "x\nReleased under the MIT License.\ny"), (2, f"Copyright (c) 2000 X\n{MIT}"), (3, "Licensed under the GNU GPL v3."), (4, None), (5, "é\nLicensed under Apache-2.0")]
     documents = pd.DataFrame(texts, columns=["doc_id", "text"])  # noqa: F841
