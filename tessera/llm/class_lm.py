@@ -1,10 +1,11 @@
 """LM scoring with Brown class-based n-grams.
 
 Exchange clustering (Kneser and Ney, 1993; Brown et al., 1992) assigns the most
-frequent words to classes so that class bigrams predict best. Every other word
-has a class by its last character. A word's probability is its class's, given
-the class before, times the word's share of its class; counts of every word of
-the corpus enter the shares.
+frequent words to classes so that class bigrams predict best; then every other
+word of the corpus joins the class that its own neighbours favour most. A
+word's probability is its class's, given the class before, times the word's
+share of its class. Words never seen have a class by their last character,
+which takes what discounting takes from the seen words of that kind.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from pyspark.sql import functions as F
 from tessera.llm import words
 from tessera.sources.scratch import Scratch
 
-#: Words that exchange clustering moves, and the classes it moves them between.
+#: Words that exchange clustering moves in sweeps on the driver, and the classes it moves them between; executors place the others.
 CLUSTERED, CLASSES, SWEEPS = 2048, 64, 4
-#: Words whose counts every executor holds; those of others are joined.
+#: Words whose counts and classes every executor holds; those of others are joined.
 HELD = 131_072
-#: Classes of words outside the clustering, by last character: full stop, comma,
+#: Classes of words never seen, by last character: full stop, comma,
 #: other punctuation, digit, ASCII letter, other. The document's end is a class too.
 SHAPES = 6
 END = np.uint64(0x5A5A5A5A5A5A5A5B)
@@ -77,6 +78,10 @@ def _count(batches):
         yield batch(*merged())
 
 
+def xlogx(x):
+    return x * np.log(np.maximum(x, 1e-300))
+
+
 def exchange(bigrams: np.ndarray, movable: int, classes: int, sweeps: int) -> np.ndarray:
     """Classes of symbols from their bigram counts.
 
@@ -93,9 +98,6 @@ def exchange(bigrams: np.ndarray, movable: int, classes: int, sweeps: int) -> np
     g = member.T @ ahead @ member
     rows, columns = g.sum(axis=1), g.sum(axis=0)
 
-    def xlogx(x):
-        return x * np.log(np.maximum(x, 1e-300))
-
     for _ in range(sweeps):
         moved = 0
         for w in range(movable):
@@ -140,11 +142,12 @@ class Model:
     train_words: int
     held: np.ndarray  # sorted hashes of the most frequent words
     held_count: np.ndarray
-    held_class: np.ndarray  # -1: by its last character
+    held_class: np.ndarray
     transition: np.ndarray  # log10, class before x class
     class_tokens: np.ndarray
     discount: np.ndarray  # of each class: taken from every seen word's count
     unseen: np.ndarray  # log10 share of words never seen
+    passed: np.ndarray  # share of each class that discounting passes on to each class
 
     @property
     def base_log(self) -> float:
@@ -184,109 +187,250 @@ def _bigrams(batches, held: np.ndarray, place: np.ndarray):
     yield pa.RecordBatch.from_arrays([pa.array(sums[0]), pa.array(sums[1])], ["code", "n"])
 
 
-def train(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The model of all rows of ``docs``, and the table (h, shape, n) of every word's count.
+def _contexts(batches, held: np.ndarray, place: np.ndarray, cls: np.ndarray):
+    """Partial neighbour counts (h, shape, contexts) of words outside the clustering.
 
-    Null texts count as empty: an end alone. No rows: a model without words,
-    under which every token is unseen.
+    A context is count * 256 + code; codes are classes before the word, then
+    classes after it. Neighbours outside the clustering count by shape.
     """
+    m, k = len(held), int(cls.max()) + 1
+    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    n = 0
+
+    def batch():
+        h, shape, before, after = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        keys, first, back = np.unique(h, return_index=True, return_inverse=True)
+        codes, counts = np.unique(np.concatenate([back * 256 + before, back * 256 + k + after]), return_counts=True)
+        at = np.searchsorted(codes >> 8, np.arange(len(keys) + 1))
+        lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array((counts << 8) | (codes & 255)))
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(shape[first].astype(np.int32)), lists], ["h", "shape", "contexts"])
+
+    for b in batches:
+        for _, h, shape, _ in _tokens(b.column(0)):
+            s = _symbols(held, place, h, shape)
+            c = cls[s]
+            at = np.flatnonzero((s >= m) & (s < m + SHAPES))
+            waiting.append((h[at], shape[at], np.where(at > 0, c[at - 1], k - 1), c[at + 1]))  # an end follows every text
+            n += len(at)
+            if n > BUFFER:
+                yield batch()
+                waiting, n = [], 0
+    if n:
+        yield batch()
+
+
+def _placed(batches, g: np.ndarray, classes: int):
+    """The class (h, shape, n, class) of each word whose move there raises the likelihood most, from its contexts."""
+    k = len(g)
+    around = np.concatenate([g[:, :classes], g[:classes].T])  # by code
+    own, rows, columns = xlogx(around), g.sum(axis=1)[:classes], g.sum(axis=0)[:classes]
+    for b in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
+        lists = b.column(2)
+        value = lists.flatten().to_numpy()
+        word = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+        keys, back = np.unique(word * 256 + (value & 255), return_inverse=True)
+        count, code = np.bincount(back, value >> 8), keys & 255
+        at = np.searchsorted(keys >> 8, np.arange(len(lists)))
+        n = np.add.reduceat(np.where(code < k, count, 0), at)[:, None]
+        gain = np.add.reduceat(xlogx(around[code] + count[:, None]) - own[code], at)
+        gain -= xlogx(rows + n) - xlogx(rows) + xlogx(columns + n) - xlogx(columns)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n[:, 0].astype(np.int64)), pa.array(gain.argmax(axis=1).astype(np.int32))], ["h", "shape", "n", "class"])
+
+
+def learn_words(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> tuple[Model, DataFrame, DataFrame]:
+    """A model without transitions, the table (h, shape, n) of every word's count and (h, shape, n, class) of every word's class."""
     spark = docs.sparkSession
     text = docs.select(F.col(text_col).cast("string").alias("text"))
     counts = scratch.cut(text.mapInArrow(_count, "h long, shape int, n long").groupBy("h").agg(F.min("shape").alias("shape"), F.sum("n").alias("n")), "counts")
     end = int(END.view(np.int64))
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("h") != end).orderBy(F.desc("n"), "h").limit(HELD).toArrow()
-    hashes, count = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
-    m = min(CLUSTERED, len(hashes))
-    ranked = np.argsort(hashes[:m])
-    clustered, place = hashes[:m][ranked], ranked
+    top = counts.where(F.col("h") != end).orderBy(F.desc("n"), "h").limit(CLUSTERED).toArrow()
+    hashes = top.column("h").to_numpy().view(np.uint64)
+    m = len(hashes)
+    ranked = np.argsort(hashes)
+    clustered, place = hashes[ranked], ranked
     size = m + SHAPES + 1
     shared = spark.sparkContext.broadcast((clustered, place))
     sums = text.mapInArrow(lambda it: _bigrams(it, *shared.value), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most size * size rows
     matrix = np.zeros(size * size)
     matrix[sums.column("code").to_numpy()] = sums.column("n").to_numpy()
     matrix = matrix.reshape(size, size)
-    cls = exchange(matrix, m, min(CLASSES, max(1, m)), SWEEPS)
+    classes = min(CLASSES, max(1, m))
+    cls = exchange(matrix, m, classes, SWEEPS)
     k = int(cls.max()) + 1
     member = np.zeros((size, k))
     member[np.arange(size), cls] = 1
-    g = member.T @ matrix @ member
+    shared_classes = spark.sparkContext.broadcast((clustered, place, cls, member.T @ matrix @ member))
+    contexts = text.mapInArrow(lambda it: words.lean(_contexts(it, *shared_classes.value[:3])), "h long, shape int, contexts array<long>")
+    contexts = contexts.groupBy("h").agg(F.min("shape").alias("shape"), F.flatten(F.collect_list("contexts")).alias("contexts"))
+    schema = "h long, shape int, n long, class int"
+    further = contexts.mapInArrow(lambda it: words.lean(_placed(it, shared_classes.value[3], classes)), schema)
+    own = [(int(h), int(s), int(c), int(a)) for h, s, c, a in zip(hashes.view(np.int64), top.column("shape").to_numpy(), top.column("n").to_numpy(), cls, strict=False)]
+    learnt = scratch.cut(further.unionByName(spark.createDataFrame(own, schema)), "classes")
+    # absolute discounting inside every class; what it takes goes to the shapes of the words it takes from
+    first = k - SHAPES - 1
+    total, seen, once, twice = np.zeros(k), np.zeros((k, SHAPES)), np.zeros(k), np.zeros(k)
+    for r in learnt.groupBy("class", "shape").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect():  # CLASSES * SHAPES rows
+        total[r["class"]] += r["n"]
+        seen[r["class"], r["shape"]] += r["v"]
+        once[r["class"]] += r["n1"]
+        twice[r["class"]] += r["n2"]
+    discount = np.where(total > 0, np.where(once > 0, np.clip(once / np.maximum(1, once + 2 * twice), 0.1, 0.9), 0.5), 0)
+    class_tokens = np.where(total > 0, total - discount * seen.sum(axis=1), 1.0)
+    unseen = np.where(total > 0, -np.inf, 0.0)
+    unseen[-1] = -np.inf
+    passed = np.eye(k)
+    taken = discount[:, None] * seen / np.maximum(1, total)[:, None]
+    passed[:, first : first + SHAPES] += taken
+    passed[np.arange(k), np.arange(k)] -= taken.sum(axis=1)
+    held = learnt.orderBy(F.desc("n"), "h").limit(HELD).toArrow()
+    hashes = held.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return Model(int(n), int(v), hashes[order], held.column("n").to_numpy()[order], held.column("class").to_numpy()[order], np.zeros((k, k)), class_tokens, discount, unseen, passed), counts, learnt
+
+
+def transitions(model: Model, coded: DataFrame) -> None:
+    """Sets the model's transitions from the classes of the texts in ``coded`` that it learns from."""
+    k = len(model.passed)
+    sums = coded.where("learn").select("codes").mapInArrow(lambda it: _class_bigrams(it, k), "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # at most k * k rows
+    matrix = np.zeros(k * k)
+    matrix[sums.column("code").to_numpy()] = sums.column("n").to_numpy()
+    g = model.passed.T @ matrix.reshape(k, k) @ model.passed
     columns, rows = g.sum(axis=0), g.sum(axis=1)
     common = (columns + 0.5) / (columns.sum() + 0.5 * k)
     follow = (g > 0).sum(axis=1)
     # Witten-Bell: a history trusts its own counts by how few followers it has
     trust = np.where(rows > 0, rows / np.maximum(1, rows + follow), 0)
-    transition = np.log10(trust[:, None] * g / np.maximum(rows, 1)[:, None] + (1 - trust)[:, None] * common)
-    # absolute discounting inside the classes of words outside the clustering
-    rare = counts.where(F.col("h") != end)
-    if m:
-        rare = rare.join(F.broadcast(spark.createDataFrame([(int(x),) for x in clustered.view(np.int64)], "h long")), "h", "left_anti")  # CLUSTERED rows
-    shapes = {r["shape"]: r for r in rare.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect()}
-    first = k - SHAPES - 1
-    class_tokens, discount, unseen = np.maximum(columns, 1.0), np.zeros(k), np.full(k, -np.inf)
-    for s in range(SHAPES):
-        r = shapes.get(s)
-        total, seen, n1, n2 = (r["n"], r["v"], r["n1"], r["n2"]) if r else (0, 0, 0, 0)
-        d = min(0.9, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.5
-        class_tokens[first + s], discount[first + s] = total + 1, d
-        unseen[first + s] = np.log10((d * seen + 1) / (total + 1))
-    held_class = np.concatenate([cls[:m], np.full(len(hashes) - m, -1)])
-    order = np.argsort(hashes)
-    return Model(int(n), int(v), hashes[order], count[order], held_class[order], transition, class_tokens, discount, unseen), counts
+    model.transition = np.log10(trust[:, None] * g / np.where(rows > 0, rows, 1)[:, None] + (1 - trust)[:, None] * common)
 
 
-_SCORED = "row long, id long, n_tokens long, n_known long, base double, score double, rest array<struct<h:long,class:int,n:int>>"
+def train(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> tuple[Model, DataFrame]:
+    """The model of all rows of ``docs``, and the table (h, shape, n) of every word's count.
+
+    Null texts count as empty: an end alone. No rows: a model without words,
+    under which every token is unseen.
+    """
+    model, counts, learnt = learn_words(docs, scratch, text_col)
+    rows = docs.select(F.lit(0).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(True).alias("learn"))
+    transitions(model, coded_texts(rows, model, learnt, 0, scratch))
+    return model, counts
+
+
+def _class_bigrams(batches, k: int):
+    """Counts of neighbouring classes; a text's first word follows an end."""
+    sums = np.zeros(k * k, np.int64)
+    for b in batches:
+        codes, at = words.buffers(b.column(0))
+        c = codes[at[0] : at[-1]].astype(np.int64)  # each text ends in an end
+        if len(c):
+            sums += np.bincount(np.concatenate([[k - 1], c[:-1]]) * k + c, minlength=k * k)
+    some = np.flatnonzero(sums)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(sums[some])], ["code", "n"])
+
+
+_HELD_PART = "row long, id long, learn boolean, n_known long, base double, emission double, codes binary, rest array<long>"
+_CODED = "id long, learn boolean, n_known long, base double, emission double, codes binary"
 
 
-def _score(batches, model: Model, end_count: int):
-    first = len(model.transition) - SHAPES - 1
-    end_class = first + SHAPES
+def _emissions(model: Model, count: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    return np.log10(np.maximum(count - model.discount[cls], 1e-9)) - np.log10(model.class_tokens[cls])
+
+
+def _binaries(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _held_part(batches, model: Model, end_count: int):
+    """Classes of each text's tokens and sums over the held ones; words not held are coded by shape and listed in order."""
+    first = len(model.passed) - SHAPES - 1
     row = TaskContext.get().partitionId() << 33
-    struct = pa.struct([("h", pa.int64()), ("class", pa.int32()), ("n", pa.int32())])
     end_base = np.log10(end_count + 0.5) - model.base_log
+    names = [x.split()[0] for x in _HELD_PART.split(", ")]
     for b in (b.slice(lo, 1024) for b in batches for lo in range(0, b.num_rows, 1024)):
         n = b.num_rows
-        size, known, base, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-        rest_h, rest_c, rest_n, rest_at = [], [], [], np.zeros(n, np.int64)
+        size, known, base, emission, rest_at = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
+        codes, rest = [np.zeros(0, np.uint8)], [np.zeros(0, np.uint64)]
         for lo, h, shape, at in _tokens(b.column(1)):
             rows = len(at) - 1
+            end = h == END
+            found, count, cls = np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.where(end, first + SHAPES, first + shape)
             if len(model.held):
                 place = np.minimum(np.searchsorted(model.held, h), len(model.held) - 1)
-                found = model.held[place] == h
+                found = (model.held[place] == h) & ~end
                 count = np.where(found, model.held_count[place], 0)
-                cls = np.where(found, model.held_class[place], -1)
-            else:
-                found, count, cls = np.zeros(len(h), bool), np.zeros(len(h)), np.full(len(h), -1)
-            cls = np.where(cls < 0, first + shape, cls)
-            end = h == END
-            cls[end] = end_class
-            before = np.empty_like(cls)
-            before[1:], before[at[:-1]] = cls[:-1], end_class
-            step = model.transition[before, cls]
-            emission = np.where(found, np.log10(np.maximum(count - model.discount[cls], 1e-9)) - np.log10(model.class_tokens[cls]), 0.0)
-            per_base = np.where(found, np.log10(count + 0.5) - model.base_log, np.where(end, end_base, 0.0))
+                cls = np.where(found, model.held_class[place], cls)
             part = slice(lo, lo + rows)
             size[part] = np.diff(at)
             known[part] = np.add.reduceat((found | (end & (end_count > 0))).astype(np.int64), at[:-1])
-            base[part] = np.add.reduceat(per_base, at[:-1])
-            score[part] = np.add.reduceat(step + emission, at[:-1])
-            other = np.flatnonzero(~found & ~end)
-            doc = np.searchsorted(at, other, side="right") - 1
-            order = np.lexsort((h[other], doc))
-            hs, ds = h[other][order], doc[order]
-            head = np.ones(len(hs), bool)
-            head[1:] = (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])
-            heads = np.flatnonzero(head)
-            rest_h.append(hs[heads])
-            rest_c.append(cls[other][order][heads])
-            rest_n.append(np.diff(np.append(heads, len(hs))))
-            rest_at[part] = np.bincount(ds[heads], minlength=rows)
-        rest = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *rest_h]).view(np.int64)), pa.array(np.concatenate([np.zeros(0, np.int64), *rest_c]).astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int64), *rest_n]).astype(np.int32))], fields=list(struct))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rest_at)]).astype(np.int32)), rest)
-        yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), b.column(0), pa.array(size), pa.array(known), pa.array(base), pa.array(score), lists], ["row", "id", "n_tokens", "n_known", "base", "score", "rest"])
+            base[part] = np.add.reduceat(np.where(found, np.log10(count + 0.5) - model.base_log, np.where(end, end_base, 0.0)), at[:-1])
+            emission[part] = np.add.reduceat(np.where(found, _emissions(model, count, cls), 0.0), at[:-1])
+            other = ~found & ~end
+            codes.append(cls.astype(np.uint8))
+            rest.append(h[other])
+            rest_at[part] = np.add.reduceat(other.astype(np.int64), at[:-1])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(rest_at)]).astype(np.int32)), pa.array(np.concatenate(rest).view(np.int64)))
+        texts = _binaries(np.concatenate(codes), np.concatenate([[0], np.cumsum(size)]))
+        yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(n)), b.column(0), b.column(2), pa.array(known), pa.array(base), pa.array(emission), texts, lists], names)
         row += n
 
 
+def _completed(batches, model: Model):
+    """Texts with the classes and sums of the words that no executor holds; ``more`` has those that were learnt."""
+    first = len(model.passed) - SHAPES - 1
+    names = [x.split()[0] for x in _CODED.split(", ")]
+    for b in (b.slice(lo, 1024) for b in batches for lo in range(0, b.num_rows, 1024)):
+        known, base, emission = (b.column(x).to_numpy(zero_copy_only=False).copy() for x in ("n_known", "base", "emission"))
+        data, at = words.buffers(b.column("codes"))
+        data = data[at[0] : at[-1]].copy()
+        at = at - at[0]
+        rest, more = b.column("rest"), b.column("more").fill_null([])
+        h, h_at = rest.flatten().to_numpy(), rest.offsets.to_numpy() - rest.offsets[0].as_py()
+        learnt, learnt_at = more.flatten(), more.offsets.to_numpy() - more.offsets[0].as_py()
+        word, cls, n = (learnt.field(x).to_numpy(zero_copy_only=False) for x in ("h", "class", "n"))
+        for r in np.flatnonzero(np.diff(h_at)):
+            text, own = data[at[r] : at[r + 1]], h[h_at[r] : h_at[r + 1]]
+            mine = slice(learnt_at[r], learnt_at[r + 1])
+            order = np.argsort(word[mine])
+            w, c, k = word[mine][order], cls[mine][order], n[mine][order]
+            found, count = np.zeros(len(own), bool), np.zeros(len(own), np.int64)
+            if len(w):
+                place = np.minimum(np.searchsorted(w, own), len(w) - 1)
+                found = w[place] == own
+                count = np.where(found, k[place], 0)
+                where = np.flatnonzero((text >= first) & (text < first + SHAPES))[found]
+                text[where] = c[place][found]
+                emission[r] += _emissions(model, count[found], c[place][found]).sum()
+            known[r] += found.sum()
+            base[r] += (np.log10(count + 0.5) - model.base_log).sum()
+            missing = text[(text >= first) & (text < first + SHAPES)]
+            emission[r] += model.unseen[missing].sum()
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("learn"), pa.array(known), pa.array(base), pa.array(emission), _binaries(data, at)], names)
+
+
+def coded_texts(rows: DataFrame, model: Model, learnt: DataFrame, end_count: int, scratch: Scratch) -> DataFrame:
+    """The class of every token of ``rows`` (id, text, learn) as a byte, with the sums that don't depend on transitions."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    part = scratch.cut(rows.mapInArrow(lambda it: words.lean(_held_part(it, shared.value, end_count)), _HELD_PART), "held_part")
+    rest = part.select("row", F.explode(F.array_distinct("rest")).alias("h")).join(learnt.select("h", "class", "n"), "h")
+    more = rest.groupBy("row").agg(F.collect_list(F.struct("h", "class", "n")).alias("more"))
+    return scratch.cut(part.join(more, "row", "left").drop("row").mapInArrow(lambda it: words.lean(_completed(it, shared.value)), _CODED), "coded")
+
+
+_SCORED = "id long, n_tokens long, n_known long, base double, score double"
+
+
+def _score(batches, transition: np.ndarray):
+    end = len(transition) - 1
+    names = [x.split()[0] for x in _SCORED.split(", ")]
+    for b in (b.slice(lo, 1024) for b in batches for lo in range(0, b.num_rows, 1024)):
+        data, at = words.buffers(b.column("codes"))
+        c = data[at[0] : at[-1]]
+        at = at - at[0]
+        before = np.concatenate([[end], c[:-1]])
+        step = np.add.reduceat(transition[before, c], at[:-1])
+        yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.diff(at)), b.column("n_known"), b.column("base"), pa.array(step + b.column("emission").to_numpy(zero_copy_only=False))], names)
+
+
 def score_documents(docs: DataFrame, learn: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """log10 probabilities of every whole text: (id, n_tokens, n_known, train_tokens, base_score, score, perplexity).
 
@@ -299,27 +443,13 @@ def score_documents(docs: DataFrame, learn: Column | None = None, id_col: str =
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "lm")
-    learnt = docs if learn is None else docs.where(F.coalesce(learn, F.lit(True)))
-    model, counts = train(learnt, scratch, text_col)
+    learns = F.lit(True) if learn is None else F.coalesce(learn, F.lit(True))
+    model, counts, learnt = learn_words(docs.where(learns), scratch, text_col)
     end = counts.where(F.col("h") == int(END.view(np.int64))).first()
-    end_count = end["n"] if end else 0
-    shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    scored = scratch.cut(rows.mapInArrow(lambda it: _score(it, shared.value, end_count), _SCORED), "scored")
-    rest = scored.select("row", F.explode("rest").alias("r")).select("row", "r.h", F.col("r.class").alias("class"), F.col("r.n").alias("times"))
-    # log10 shares of the classes that rest words can have
-    lowest = len(model.transition) - SHAPES - 1
-    numbers = [F.array(*(F.lit(float(x)) for x in v[lowest : lowest + SHAPES])) for v in (model.discount, np.log10(model.class_tokens), model.unseen)]
-    discount, tokens, unseen = (F.get(a, F.col("class") - lowest) for a in numbers)
-    joined = rest.join(counts.select("h", "n"), "h", "left")
-    emission = F.when(F.col("n").isNull(), unseen).otherwise(F.log10(F.col("n") - discount) - tokens)
-    base = F.log10(F.coalesce("n", F.lit(0)) + 0.5) - model.base_log
-    sums = joined.groupBy("row").agg(
-        F.sum(F.col("times") * emission).alias("more_score"), F.sum(F.col("times") * base).alias("more_base"), F.sum(F.when(F.col("n").isNull(), 0).otherwise(F.col("times"))).alias("more_known")
-    )
-    zero = F.lit(0.0)
-    out = scored.drop("rest").join(sums, "row", "left").select(
-        F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", zero)).alias("base_score"), (F.col("score") + F.coalesce("more_score", zero)).alias("score"),
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), learns.alias("learn"))
+    coded = coded_texts(rows, model, learnt, end["n"] if end else 0, scratch)
+    transitions(model, coded)
+    shared = spark.sparkContext.broadcast(model.transition)
+    scored = coded.mapInArrow(lambda it: _score(it, shared.value), _SCORED)
+    out = scored.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(model.train_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
     return out.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

@@ -109,3 +109,38 @@ def test_odd_rows(spark):
     assert lm.score_documents(df.limit(0)).count() == 0
     none = lm.score_documents(df, learn=F.lit(False)).collect()
     assert len(none) == 6 and all(r["n_known"] == 0 and math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in none)
+
+
+def test_words_outside_the_clustering_have_learnt_classes(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CLUSTERED", 30)
+    monkeypatch.setattr(lm, "CLASSES", 2)
+    import pyarrow as pa
+    from tessera.llm import words
+    from tessera.sources.scratch import Scratch
+
+    data = texts()
+    model, counts = lm.train(spark.createDataFrame(data, SCHEMA), Scratch(spark, "test"))
+    kind = {}
+    for _, t, *_ in data:
+        own = t.lower().split()
+        for w, h in zip(own, next(h for _, h in words.texts(pa.array([t]))), strict=True):
+            kind[int(h)] = w[0]
+    cls = {int(h): int(c) for h, c in zip(model.held, model.held_class, strict=True)}
+    assert len(kind) > 300 and set(kind) == set(cls) - {int(lm.END)} and set(cls.values()) <= {0, 1}
+    of_a = collections.Counter(cls[h] for h, k in kind.items() if k == "a")
+    of_b = collections.Counter(cls[h] for h, k in kind.items() if k == "b")
+    a, b = of_a.most_common(1)[0], of_b.most_common(1)[0]
+    assert a[0] != b[0] and a[1] > 0.95 * of_a.total() and b[1] > 0.95 * of_b.total()
+
+
+def test_words_that_are_not_held_score_alike(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CLUSTERED", 30)
+    monkeypatch.setattr(lm, "CLASSES", 6)
+    df = spark.createDataFrame(texts(), SCHEMA).repartition(4)
+    learn = F.col("doc_id") % 5 != 1
+    whole = {r["doc_id"]: r for r in lm.score_documents(df, learn=learn).collect()}
+    monkeypatch.setattr(lm, "HELD", 40)
+    for r in lm.score_documents(df, learn=learn).collect():
+        w = whole[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"]) == (w["n_tokens"], w["n_known"])
+        assert r["score"] == pytest.approx(w["score"], abs=1e-6) and r["base_score"] == pytest.approx(w["base_score"], abs=1e-6)
