@@ -4,11 +4,13 @@ Every word has two buckets, so two words share both only rarely; the rows of
 the buckets, side by side, are its embedding. Filters of several widths slide
 over the whole text, max pooling keeps each filter's best place, and a logistic
 layer gives the score. Trained in numpy on the driver from a bounded sample of
-labelled rows; thresholds are calibrated by language on rows kept apart.
+labelled rows; thresholds are calibrated by language on every usable labelled
+row that it wasn't trained on, scored by executors.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +24,7 @@ BUCKETS, HALF = 1 << 16, 8
 WIDTHS, FILTERS = (1, 2, 3), 8
 #: Labelled rows of each class that are learnt from, at most.
 POSITIVES, NEGATIVES = 3000, 6000
-#: One sampled row in this many calibrates thresholds and isn't trained on.
+#: One sampled row in this many isn't trained on; these and all rows outside the sample calibrate thresholds.
 CALIBRATION = 6
 #: A language gets its own threshold from this many positive rows on.
 ENOUGH = 20
@@ -170,21 +172,32 @@ def fit(docs: list[np.ndarray], y: np.ndarray, seed: int = 5) -> Model:
     return m
 
 
-def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
-    """The threshold between 0.3 and 0.9 of the highest F1; of equals, the one nearest to 0.5."""
-    grid = np.linspace(0.3, 0.9, 61)
-    hit = np.array([((score >= t) & (y == 1)).sum() for t in grid])
-    f1 = 2 * hit / np.maximum(1, np.array([(score >= t).sum() for t in grid]) + (y == 1).sum())
+#: Thresholds that calibration chooses from.
+GRID = np.linspace(0.3, 0.9, 61)
+
+
+def best_threshold(held: np.ndarray, total: np.ndarray) -> float:
+    """The threshold of GRID with the highest F1; of equals, the one nearest to 0.5.
+
+    ``held`` has, for each label, the number of calibration rows that reach so
+    many thresholds; ``total`` all labelled rows, those trained on too. Each
+    label's rows count by its share of ``total``: training takes a larger part
+    of the rarer label, so the rows that are left have another ratio.
+    """
+    weight = total / np.maximum(1, held.sum(axis=1))
+    above = weight[:, None] * held[:, ::-1].cumsum(axis=1)[:, ::-1][:, 1:]
+    f1 = 2 * above[1] / np.maximum(1, above.sum(axis=0) + total[1])
     top = np.flatnonzero(f1 >= f1.max() - 1e-12)
-    return float(grid[top[np.abs(grid[top] - 0.5).argmin()]])
+    return float(GRID[top[np.abs(GRID[top] - 0.5).argmin()]])
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", positives: int = POSITIVES, negatives: int = NEGATIVES) -> Model:
     """A model of label 1, from labelled rows whose id is ``usable``.
 
     Of each class the rows whose ids hash lowest are read, at most
-    ``positives`` and ``negatives``; other rows never leave their executors.
-    Null labels and ids are skipped, of several labels of an id the highest
+    ``positives`` and ``negatives``, and most are trained on; the others are
+    scored by executors, and counts by language, label and threshold choose
+    the thresholds. Null labels and ids are skipped, of several labels of an id the highest
     counts, labels without a document are skipped. No labelled rows: a model
     that scores everything near 0.
     """
@@ -202,9 +215,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     ids = [np.frombuffer(r["ids"], np.uint16).reshape(-1, 2) for r in rows]
     y = np.array([r["y"] for r in rows], np.int64)
     apart = np.zeros(len(rows), bool)
-    for k in (0, 1):  # both classes are needed on either side
-        at = np.flatnonzero(y == k)
-        apart[at[CALIBRATION - 1 :: CALIBRATION]] = True
+    doc_ids = np.array([r["id"] for r in rows], np.int64)
+    for k in (0, 1):  # both classes are needed on either side; rows of one id stay on one
+        apart |= np.isin(doc_ids, np.unique(doc_ids[y == k])[CALIBRATION - 1 :: CALIBRATION])
     model = fit([d for d, c in zip(ids, apart, strict=True) if not c], y[~apart])
     if not len(rows) or not y.any():
         model.offset = -10.0
@@ -212,18 +225,33 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     sampled, whole = (y == 1).sum() / max(1, (y == 0).sum()), counts.get(1, 0) / max(1, counts.get(0, 0))
     if (y == 0).any() and counts.get(0):
         model.offset += float(np.log(whole / sampled))  # the sample's share of positives isn't the corpus's
-    tables = model.tables()
-    score = model.score(np.stack([model.pooled(tables, d) for d, c in zip(ids, apart, strict=True) if c])) if apart.any() else np.zeros(0)
-    held, langs = y[apart], np.array([r["lang"] or "" for r in rows])[apart]
-    if held.any():
-        model.threshold = best_threshold(score, held)
-        for name in np.unique(langs[langs != ""]):
-            at = langs == name
-            if held[at].sum() >= ENOUGH:
-                model.thresholds[str(name)] = best_threshold(score[at], held[at])
+    shared = docs.sparkSession.sparkContext.broadcast((model, np.unique(doc_ids[~apart])))
+    reached = texts.where(F.col("id").isNotNull()).mapInArrow(lambda it: words.lean(_reached(it, *shared.value)), "id long, lang string, reached int")
+    found = reached.join(named, "id").groupBy("lang", "y", "reached").agg(F.count("*").alias("n")).collect()  # languages x 2 x 63 rows
+    shared.destroy()  # Python workers stay, and would keep the model and its tables
+    held, total = defaultdict(lambda: np.zeros((2, len(GRID) + 1))), defaultdict(lambda: np.zeros(2))
+    for r in found:
+        for name in {None, r["lang"] or None}:  # None: all languages
+            total[name][r["y"]] += r["n"]
+            if r["reached"] >= 0:
+                held[name][r["y"], r["reached"]] += r["n"]
+    if held[None][1].any():
+        model.threshold = best_threshold(held[None], total[None])
+    for name in sorted(filter(None, held)):
+        if held[name][1].sum() >= ENOUGH:
+            model.thresholds[name] = best_threshold(held[name], total[name])
     return model
 
 
+def _reached(batches, model: Model, trained: np.ndarray):
+    """How many thresholds of GRID each text's score reaches; -1 for texts that the model was trained on."""
+    for b in batches:
+        new = ~np.isin(b.column("id").to_numpy(), trained)
+        reached = np.full(b.num_rows, -1, np.int32)
+        reached[new] = np.searchsorted(GRID, model.scores(b.column("text").filter(pa.array(new))), side="right")
+        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("lang"), pa.array(reached)], ["id", "lang", "reached"])
+
+
 def _bucketed(batches):
     for batch in batches:
         ids = [b""] * batch.num_rows

@@ -79,3 +79,32 @@ def test_pieces_of_a_text_score_as_the_whole(monkeypatch):
     whole = model.scores(column)
     monkeypatch.setattr(t, "PIECE", 7)
     assert np.allclose(whole, model.scores(column), atol=1e-6)
+
+
+def test_thresholds_come_from_all_rows(spark, monkeypatch):
+    """Far more clean rows than the fit may read, some of which hold a bad word: the sample's ratio would ask for too low a threshold."""
+    rng = random.Random(3)
+    rows, labels = [], []
+    for k in range(4000):
+        toxic = k % 20 == 0
+        n = rng.choice([1, 2, 3]) if toxic else rng.choice([0, 0, 0, 0, 1])
+        text = [f"w{rng.randrange(300)}" for _ in range(30)] + [rng.choice(BAD) for _ in range(n)]
+        rng.shuffle(text)
+        rows.append((k, " ".join(text), "en" if k % 3 else "de", 0.0, 0))
+        labels.append((k, int(toxic)))
+    fitted = []
+    fit = t.fit
+    monkeypatch.setattr(t, "fit", lambda docs, y, *a: (fitted.extend(d.tobytes() for d in docs), fit(docs, y, *a))[1])
+    model = t.train(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"), positives=120, negatives=120)
+    assert len(fitted) == 200
+    column = pa.array([r[1] for r in rows])
+    own = [t.buckets(h).astype(np.uint16).tobytes() for _, h in t.words.texts(column, t.words.PLAIN)]
+    new = np.array([o not in set(fitted) for o in own])
+    score, y = model.scores(column), np.array([r[1] for r in labels])
+    assert (~new).sum() == 200
+    grid = np.linspace(0.3, 0.9, 61)
+    for name, at in [(None, np.ones(4000, bool)), ("en", np.array([r[2] == "en" for r in rows])), ("de", np.array([r[2] == "de" for r in rows]))]:
+        weight = np.array([(at & (y == c)).sum() / (at & new & (y == c)).sum() for c in (0, 1)])[y] * (at & new)
+        f1 = [2 * weight[(score >= g) & (y == 1)].sum() / (weight[score >= g].sum() + (at & (y == 1)).sum()) for g in grid]
+        got = model.threshold if name is None else model.thresholds[name]
+        assert f1[int(np.abs(grid - got).argmin())] >= max(f1) - 1e-9
