@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import vectors
 from tessera.operators import frames
 from tessera.operators.asof import asof_join
-from tessera.operators.intervals import point_in_interval
+from tessera.operators.intervals import intervals_over, point_in_interval
 from tessera.operators.nearest import nearest
 from tessera.operators.running import rows_above, running_sum
 
@@ -35,6 +35,23 @@ def test_point_in_interval(spark):
     assert out == sorted([(k, 1) for k in range(3, 20)] + [(10, 2)])
 
 
+def test_intervals_over(spark):
+    points = spark.createDataFrame([(k, float(k)) for k in range(50)] + [(7, 7.0), (99, None)], "p int, x double")
+    bounds = [(3.0, 20.0), (10.0, 11.0), (10.0, 11.0), (5.0, 5.0), (9.0, 2.0), (None, 4.0), (-5.0, 100.0), (20.0, 30.5)]
+    spans = spark.createDataFrame(bounds, "lo double, hi double")
+    out = sorted((r["p"], r["n"]) for r in intervals_over(points, spans, F.col("x"), F.col("lo"), F.col("hi"), "n").collect())
+    brute = lambda x: sum(lo is not None and lo <= x < hi for lo, hi in bounds)
+    assert out == sorted([(k, brute(k)) for k in [*range(50), 7]] + [(99, 0)])
+    assert intervals_over(points, spans.limit(0), F.col("x"), F.col("lo"), F.col("hi"), "n").where("n = 0").count() == 52
+
+
+def test_every_pair_of_the_point_in_interval_join_is_counted(spark, sf_dir):
+    import __spark_entry__ as entry
+
+    counts = entry.queries()["point_in_interval_counts"](spark, sf_dir)
+    assert counts.agg(F.sum("n")).first()[0] == 37_465
+
+
 def test_running_sum_is_gapless_in_groups(spark):
     df = spark.createDataFrame([("hot" if k % 3 else None if k % 2 else "cold", k, 1) for k in range(100)], "g string, k int, v int")
     rows = running_sum(df, ["g"], ["k"], "v", "at", 100).collect()
