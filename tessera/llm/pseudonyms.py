@@ -158,7 +158,7 @@ KINDS: list[tuple[str, re.Pattern, Callable[[re.Match, bytes], str | None]]] = [
     ("email", re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"), _email),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), _iban),
     ("ip", re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"), _ip),
-    ("date", re.compile(r"(?<![\w./-])(?P<a>\d{4}|\d{1,2})(?P<mark>[-./])(?P<b>\d{1,2})(?P=mark)(?P<c>\d{4}|\d{1,2})(?![\w-]|[./]\d)"), _date),
+    ("date", re.compile(r"(?<![\w./-])(?P<a>\d{4}|\d{1,2})(?P<mark>[-./])(?P<b>\d{1,2})(?P=mark)(?P<c>\d{4}|\d{1,2})(?!(?!T\d)[\w-]|[./]\d)"), _date),
     ("ssn", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _ssn),
     ("phone", re.compile(r"(?<![\w+])(?P<country>\+\d{1,3}[ .-]?)?(?P<rest>\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){1,4})(?![\w]|[.-]\d)"), _phone),
     ("card", re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w]|[.-]\d)"), _card),
@@ -174,12 +174,21 @@ def find(text: str, key: bytes) -> list[tuple[str, int, int, str]]:
     for kind, pattern, image in KINDS:
         if kind == "email" and "@" not in text:
             continue
-        for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b in taken):
-                continue
-            new = image(m, key)
-            if new is not None:
-                found.append((kind, m.start(), m.end(), new))
+        at = 0
+        while m := pattern.search(text, at):
+            # a match may have swallowed what stands around the value: shorter ones end and start at a space
+            for end in (m.end(), *(m.start() + k for k in range(len(m[0]) - 1, 0, -1) if m[0][k] == " ")):
+                part = m if end == m.end() else pattern.fullmatch(text, m.start(), end)
+                if part is None or any(a < end and m.start() < b for a, b in taken):
+                    continue
+                new = image(part, key)
+                if new is not None:
+                    found.append((kind, m.start(), end, new))
+                    at = end
+                    break
+            else:
+                gap = text.find(" ", m.start(), m.end())
+                at = m.end() if gap < 0 else gap + 1
         taken = [(a, b) for _, a, b, _ in found]
     return sorted(found, key=lambda f: f[1])
 

@@ -52,6 +52,23 @@ def test_invalid_values_stay(text):
     assert p.find(text, KEY) == []
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "value"),
+    [
+        ("4111 1111 1111 1111 10 times", "card", "4111 1111 1111 1111"),
+        ("4111111111111111 12/26", "card", "4111111111111111"),
+        ("no 12 4111 1111 1111 1111", "card", "4111 1111 1111 1111"),
+        ("DE89370400440532013000 2024", "iban", "DE89370400440532013000"),
+        ("DE89370400440532013000 BIC COBADEFF", "iban", "DE89370400440532013000"),
+        ("DE89 3704 0044 0532 0130 00 BIC COBADEFF", "iban", "DE89 3704 0044 0532 0130 00"),
+        ("212-555-0100 10 times", "phone", "212-555-0100"),
+        ("at 2024-01-05T10:00 sharp", "date", "2024-01-05"),
+    ],
+)
+def test_values_are_told_from_what_follows(text, kind, value):
+    assert only(text)[:2] == (kind, value)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.integers(0, 10**15 - 1), st.integers(0, 10**15 - 1))
 def test_cards_map_one_to_one(a, b):
