@@ -22,16 +22,14 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     never gathered; minima are pre-aggregated before the shuffle, and joins on
     a hot node are split by adaptive execution. No links: no rows.
     """
-    now = scratch.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = _digest(now)
-    while True:
+    now, state = _stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), scratch)
+    while state[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         nxt = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        nxt = scratch.cut(nxt, "edges")
-        after = _digest(nxt)
+        nxt, after = _stored(nxt, scratch)
         scratch.free(now)
         now = nxt
         if after == state:
@@ -40,29 +38,39 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first())
+def _stored(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, tuple]:
+    """The links as a table, with their number and a digest."""
+    digest = {"n": F.count("*"), "x": F.bit_xor(F.xxhash64("a", "b")), "s": F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))}
+    out, found = scratch.measured(edges, "edges", **digest)
+    return out, (found["n"], found["x"], found["s"])
 
 
 #: Members of a group compared at once: a block holds two slices of this many at most.
 SLICE = 1024
 
 
-def blocks(members: DataFrame, key: str, size: str, node: str) -> DataFrame:
-    """Members of each group dealt to blocks (key, i, j) so that every pair meets, without any task holding a group.
+def blocks(members: DataFrame, key: str, size: str, node: str, major: str | None = None, majors: str | None = None) -> DataFrame:
+    """Members of each group dealt to blocks (key, i, j) so that pairs meet, without any task holding a group.
 
-    ``size`` is the group's member count. Members fall into ceil(size / SLICE)
-    slices by hash; each slice meets each other slice in one block.
+    ``size`` is the number of the group's members, without its majors. Members
+    fall into ceil(size / SLICE) slices by hash; each slice meets each other
+    slice in one block. Members marked by the boolean ``major``, ``majors`` in
+    all, have slices of their own, which meet those of the others but not one
+    another: where a few members are left beside many that need not be compared,
+    nearly every member stands in one block.
     """
+    big = F.col(major) if major else F.lit(False)
     n = F.ceil(F.col(size) / SLICE).cast("int")
-    own = F.pmod(F.xxhash64(node, F.lit(5)), n).cast("int")
+    m = F.ceil(F.col(majors) / SLICE).cast("int") if majors else F.lit(0)
+    hashed = F.xxhash64(node, F.lit(5))
+    own = F.when(big, n + F.pmod(hashed, F.greatest(m, F.lit(1)))).otherwise(F.pmod(hashed, F.greatest(n, F.lit(1)))).cast("int")
+    reach = F.when(big, n).otherwise(n + m)  # a member meets the other members' slices, and they also those of majors
     return (
-        members.withColumn("_n", n)
-        .withColumn("slice", own)
-        .withColumn("_d", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+        members.withColumn("slice", own)
+        .withColumn("_d", F.explode(F.when(reach > 0, F.sequence(F.lit(0), reach - 1))))
         .withColumn("i", F.least("slice", "_d"))
         .withColumn("j", F.greatest("slice", "_d"))
-        .drop("_n", "_d", size)
+        .drop("_d", size, *[c for c in (major, majors) if c])
     )
 
 
@@ -98,6 +106,12 @@ def changes(table: pa.Table, keys: list[str]) -> np.ndarray:
     return out
 
 
+def stretches(table: pa.Table, keys: list[str]) -> Iterator[tuple[int, int]]:
+    """Where each run begins and ends."""
+    heads = np.flatnonzero(changes(table, keys)).tolist()
+    yield from zip(heads, [*heads[1:], table.num_rows], strict=True)
+
+
 def pairs(begins: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within runs, at most about ``limit`` at a time. begins: True where a run begins."""
     n = len(begins)

@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import graph
+from tessera.llm.names import fresh
 from tessera.llm.words import lean, mix, shingles, stream, texts
-from tessera.sources.scratch import Scratch
+from tessera.sources.scratch import BROADCAST, Scratch
 
 #: At the lowest similarity linked, 0.8, a band of 6 agrees with probability
 #: 0.262; all of 50 bands miss a pair with probability below 3e-7.
@@ -27,6 +28,8 @@ BANDS, ROWS = 50, 6
 BATCH = 30
 #: A pair is dropped when it reaches the threshold with less probability.
 MISS = 1e-7
+#: Parts that the pairs of one pivot are dealt to.
+SPREAD = 64
 _META = "id long, n long, d1 long, d2 long, bands array<long>, sig binary"
 
 
@@ -110,12 +113,47 @@ def _signatures(column: pa.Array, bands: int) -> tuple[np.ndarray, np.ndarray]:
     return whole[:, :own], np.ascontiguousarray(whole[:, own:]).view("<u4")
 
 
-def _prune(batches, bands: int, percent: int, miss: float):
+def led(pairs: DataFrame, own: DataFrame, value: str) -> DataFrame:
+    """Rows (b, s, a, value) of pairs (a, b): runs of (b, s) begin with b's own value, without an a.
+
+    b's value travels once to each of SPREAD parts of its pairs and not with
+    every pair, and no part holds all of a large star. ``own`` has (node, value).
+    """
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a", F.lit(71)), F.lit(SPREAD)).cast("int").alias("s"))
+    members = own.withColumnRenamed("node", "a").join(dealt, "a").select("b", "s", "a", value)
+    pivots = own.withColumnRenamed("node", "b").join(dealt.select("b", "s").distinct(), "b").select("b", "s", F.lit(None).cast("long").alias("a"), value)
+    return members.unionByName(pivots).repartition("b", "s").sortWithinPartitions("b", "s", F.asc_nulls_first("a"))
+
+
+def _runs(batches):
+    """(table, pivot rows, member rows) of ``led`` rows; a run that goes on in the next batch takes its pivots along.
+
+    A run has several pivots only if an id has several texts: then each member
+    meets each of them, one in each of the triples of a table.
+    """
+    before = None
     for batch in batches:
-        if batch.num_rows:
-            a, b = (_signatures(batch.column(k), bands)[0] for k in (2, 3))
-            keep = pa.array(plausible(a, b, percent / 100, miss))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["a", "b"])
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([batch])
+        if before is not None and before.num_rows and all(before.column(k)[0] == t.column(k)[0] for k in ("b", "s")):
+            t = pa.concat_tables([before, t])
+        begins = graph.changes(t, ["b", "s"])
+        run, first = np.cumsum(begins) - 1, np.flatnonzero(begins)
+        pivot = t.column("a").is_null().to_numpy()
+        count = np.bincount(run, pivot, len(first)).astype(np.int64)
+        before = t.slice(int(first[-1]), int(count[-1]))
+        member = np.flatnonzero(~pivot)
+        for k in range(int(count.max())):
+            m = member[count[run[member]] > k]
+            yield t, first[run[m]] + k, m
+
+
+def _prune(batches, bands: int, percent: int, miss: float):
+    for t, p, m in _runs(batches):
+        sig = _signatures(t.column("sig").combine_chunks(), bands)[0]
+        keep = m[plausible(sig[p], sig[m], percent / 100, miss)]
+        yield from t.select(["a", "b"]).take(pa.array(keep)).combine_chunks().to_batches()
 
 
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -129,16 +167,17 @@ def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _confirm(batches, k: int, percent: int):
-    """Pairs (a, b, text_a, text_b) whose full sets are similar enough."""
-    for batch in batches:
-        a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        sets = []
-        for column in (batch.column(2), batch.column(3)):
-            own = column.dictionary_encode()  # a text that many pairs share is cut into shingles once
-            sets.append(([shingles(w, k) for _, w in texts(own.dictionary)], own.indices.to_numpy()))
-        (left, at), (right, bt) = sets
-        keep = [r for r in range(len(a)) if _similar(left[at[r]], right[bt[r]], percent)]
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+    """Pairs (a, b) whose full sets are similar enough; a pivot's text is cut into shingles once a batch."""
+    for t, p, m in _runs(batches):
+        of, keep, held = np.full(t.num_rows, -1), [], {}
+        of[m] = p
+        wanted = np.isin(np.arange(t.num_rows), p)
+        for r, words in texts(t.column("text")):
+            if wanted[r]:
+                held = {r: shingles(words, k)} if of[r] < 0 else held
+            elif of[r] >= 0 and _similar(held[of[r]], shingles(words, k), percent):
+                keep.append(r)
+        yield from t.select(["a", "b"]).take(pa.array(keep, pa.int64())).combine_chunks().to_batches()
 
 
 #: What a member brings to a block.
@@ -217,55 +256,75 @@ def link_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(df.sparkSession, "minhash")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     meta = scratch.cut(docs.mapInArrow(lambda it: lean(_sign(it, shingle_words, bands, rows)), _META), "meta")
-    classes = scratch.cut(meta.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("node")), "classes")
-    stand = meta.join(classes, ["d1", "d2", "n"]).where("id = node").select("node", "n", "bands", "sig")
-    nodes = scratch.cut(stand.dropDuplicates(["node", "sig"]), "nodes")
+    # one row of each set stands for it
+    stand = meta.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.min_by(F.struct("bands", "sig"), "id").alias("own"))
+    nodes = scratch.cut(stand.where("node is not null").select("node", "n", "d1", "d2", "copies", "own.bands", "own.sig"), "nodes")
     keyed = nodes.select("node", F.explode("bands").alias("key"))
     buckets = scratch.cut(keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).where("size > 1"), "buckets")
     members = scratch.cut(keyed.join(buckets, "key"), "members")
+    scratch.free(buckets)
     stars = members.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    sigs, whole = nodes.select("node", "sig"), docs.where("text is not null").withColumnRenamed("id", "node")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        sigs = nodes.select("node", "sig")
-        both = pairs.join(sigs.withColumnsRenamed({"node": "a", "sig": "sa"}), "a").join(sigs.withColumnsRenamed({"node": "b", "sig": "sb"}), "b").select("a", "b", "sa", "sb")
-        left = scratch.cut(both.mapInArrow(lambda it: lean(_prune(it, bands, percent, miss)), "a long, b long").distinct(), "plausible")
-        own = docs.where("text is not null")
-        full = left.join(own.withColumnsRenamed({"id": "a", "text": "ta"}), "a").join(own.withColumnsRenamed({"id": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
-        return scratch.cut(full.mapInArrow(lambda it: lean(_confirm(it, shingle_words, percent)), "a long, b long"), "links")
+        left = scratch.lookup(led(pairs, sigs, "sig").mapInArrow(lambda it: lean(_prune(it, bands, percent, miss)), "a long, b long").distinct(), "plausible")
+        return scratch.cut(led(left, whole, "text").mapInArrow(lambda it: lean(_confirm(it, shingle_words, percent)), "a long, b long").distinct(), "links")
 
     def labelled(frame: DataFrame, comp: DataFrame, column: str, out: str) -> DataFrame:
         named = comp.select(F.col("node").alias(column), F.col("component").alias(out))
         return frame.join(named, column, "left").withColumn(out, F.coalesce(out, column))
 
     # Round 1: each node with the smallest pivot of its buckets.
-    links = verified(stars.groupBy("a").agg(F.min("b").alias("b")))
-    comp = scratch.cut(graph.components(links, scratch), "components")
-    # Round 2: the pivots that are still in other components.
-    open_stars = labelled(labelled(stars.distinct(), comp, "a", "ca"), comp, "b", "cb").where("ca <> cb").select("a", "b")
-    links = scratch.cut(links.unionByName(verified(open_stars)), "links")
-    comp = scratch.cut(graph.components(links, scratch), "components")
+    first = verified(stars.groupBy("a").agg(F.min("b").alias("b")))
+    # Round 2: the pivots that this hasn't led to the same place.
+    place = first.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    second = verified(labelled(labelled(stars.distinct(), place, "a", "ca"), place, "b", "cb").where("ca <> cb").select("a", "b"))
+    comp = scratch.cut(graph.components(first.unionByName(second), scratch), "components")
     # Round 3: members of a bucket that holds several components meet each other.
-    spread = labelled(members.where("size > 2"), comp, "node", "component")
+    spread = labelled(members.where("size > 2").select("key", "node"), comp, "node", "component")
     mixed = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    marks = nodes.select("node", "n", "sig")
+    mixed, found = scratch.measured(spread.join(mixed, "key").select("key", "node", "component"), "mixed", n=F.count("*"))
+    if found["n"]:
+        links, found = scratch.measured(_across(mixed, nodes, whole, scratch, bands, percent, miss, shingle_words), "links", n=F.count("*"))
+    if found["n"]:
+        # the components that these links join
+        joined = graph.components(labelled(labelled(links, comp, "a", "ca"), comp, "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch)
+        up = joined.select(F.col("node").alias("component"), F.col("component").alias("to"))
+        old = comp.join(up, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        comp = scratch.cut(old.unionByName(joined.join(comp.select("node"), "node", "left_anti")), "components")
+
+    # what stands alone is its own component
+    known = labelled(nodes.select("node", "n", "d1", "d2", "copies"), comp, "node", "component").where("copies > 1 or component <> node")
+    known = scratch.lookup(known.select("n", "d1", "d2", "component"), "known")
+    out = meta.select("id", "n", "d1", "d2").join(known, ["d1", "d2", "n"], "left")
+    component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
+    scratch.free(members, nodes, mixed, first, second)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+
+
+def _across(mixed: DataFrame, nodes: DataFrame, whole: DataFrame, scratch: Scratch, bands: int, percent: int, miss: float, k: int) -> DataFrame:
+    """Links (a, b) between components inside buckets of several, from the members (key, node, component) of those.
+
+    In a large bucket the members of its largest component meet the others
+    but not each other.
+    """
+    parts = mixed.groupBy("key", "component").agg(F.count("*").alias("n"))
+    tops = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("size"))
+    large = F.col("size") > graph.SLICE
+    tops = tops.select("key", F.when(large, F.col("top.component")).alias("major"), F.when(large, F.col("top.n")).otherwise(0).alias("majors"), "size")
+    dealt = mixed.join(tops, "key").select("key", "node", "component", F.coalesce(F.col("component") == F.col("major"), F.lit(False)).alias("major"), "majors", (F.col("size") - F.col("majors")).alias("minors"))
     # a member meets its signature, and later its text, once and not in every bucket; it has one bucket a band at most
-    held = spread.join(mixed, "key").groupBy("node", "component").agg(F.collect_list(F.struct("key", "size")).alias("buckets"))
-    held = held.join(marks, "node").select("node", "component", "n", "sig", F.explode("buckets").alias("bucket"))
-    dealt = graph.blocks(held.select("node", "component", "n", "sig", "bucket.*"), "key", "size", "node")
+    held = dealt.groupBy("node", "component").agg(F.collect_list(F.struct("key", "major", "majors", "minors")).alias("buckets"))
+    held = held.join(nodes.select("node", "n", "sig"), "node").select("node", "component", "n", "sig", F.explode("buckets").alias("bucket"))
+    dealt = graph.blocks(held.select("node", "component", "n", "sig", "bucket.*"), "key", "minors", "node", "major", "majors")
     dealt = dealt.select(_BLOCK).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     left = scratch.cut(dealt.mapInArrow(lambda it: lean(_meet(it, bands, percent, miss, None)), dealt.schema), "unsettled")
     place = F.struct("key", "i", "j", "slice")
-    once = left.groupBy("node", "component", "n", "sig").agg(F.collect_list(place).alias("places"))
-    whole = once.join(docs.where("text is not null").withColumnRenamed("id", "node"), "node").select("node", "component", "n", "sig", "text", F.explode("places").alias("place"))
-    whole = whole.select("node", "component", "n", "sig", "text", "place.*")
-    whole = whole.select(*_BLOCK, "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    links = scratch.cut(links.unionByName(whole.mapInArrow(lambda it: lean(_meet(it, bands, percent, miss, shingle_words)), "a long, b long")), "links")
-    comp = graph.components(links, scratch)
-
-    known = labelled(classes, comp, "node", "component")
-    out = meta.select("id", "n", "d1", "d2").join(known.drop("node"), ["d1", "d2", "n"], "left")
-    component = F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    once = scratch.lookup(left.groupBy("node", "component", "n", "sig").agg(F.collect_list(place).alias("places")), "unsettled")
+    full = whole.join(once, "node").select("node", "component", "n", "sig", "text", F.explode("places").alias("place"))
+    full = full.select("node", "component", "n", "sig", "text", "place.*")
+    full = full.select(*_BLOCK, "text").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return full.mapInArrow(lambda it: lean(_meet(it, bands, percent, miss, k)), "a long, b long")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -274,10 +333,15 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     Rows with a null id stay; of rows that repeat an id, the one whose text
     hashes lowest stays.
     """
+    scratch = Scratch(df.sparkSession, "minhash")
+    own, rank = fresh(df.columns, "own", "rank")
     found = link_documents(df, id_col, text_col, **options)
-    marks = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.bool_or(~F.col("kept")).alias("_gone"), F.count("*").alias("_rows"))
-    marks = Scratch(df.sparkSession, "minhash").cut(marks.where("_gone or _rows > 1"), "marks")
-    once = df.join(marks.select("_id"), F.col(id_col) == F.col("_id"), "left_anti")
-    again = df.join(marks.where("not _gone").select("_id"), F.col(id_col) == F.col("_id"), "left_semi")
+    marks = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(own)).agg(F.bool_or(~F.col("kept")).alias("gone"), F.count("*").alias("n"))
+    marks, count = scratch.measured(marks.where("gone or n > 1"), "marks", n=F.count("*"), again=F.count_if(~F.col("gone")))
+    marks = F.broadcast(marks) if count["n"] <= BROADCAST else marks
+    once = df.join(marks.select(own), F.col(id_col) == F.col(own), "left_anti")
+    if not count["again"]:
+        return once
+    again = df.join(marks.where("not gone").select(own), F.col(id_col) == F.col(own), "left_semi")
     order = Window.partitionBy(id_col).orderBy(F.xxhash64(F.col(text_col)), F.col(text_col))
-    return once.unionByName(again.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank"))
+    return once.unionByName(again.withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1).drop(rank))
