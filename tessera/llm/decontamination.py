@@ -7,42 +7,66 @@ windows of words are compared, so substituted words do not hide a passage.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.names import fresh
+from tessera.sources.scratch import Scratch
+
 #: Words of an aligned window, and how many of them must agree.
 WINDOW, AGREE = 15, 12
-#: Any three substitutions in a window leave some placement of some mask intact
-#: (tests/llm goes through all 455); "1" marks the positions that are hashed.
+#: Any three substitutions in a window, and any two in 13 or 14 words, leave some
+#: placement of some mask intact (tests/llm goes through all); "1" marks the
+#: positions that are hashed. Shorter items have masks of their own.
 MASKS = ("1111011", "11001000111", "11010110001")
-SHORTEST = min(map(len, MASKS))
+LONG = 13
 #: Items are cut into overlapping pieces of this many words.
 PIECE = 4096
 #: Seeds broadcast in one pass over the documents; more take further passes.
 SEEDS = 1_000_000
 
 
+def masks(n: int) -> tuple[str, ...]:
+    """Masks that find an item of ``n`` words with any substitutions that leave 4 of 5 words.
+
+    Up to 4 words none may differ; of 5 to 9 one may, and each mask ignores one
+    position; of 10 to 12 two may, and each mask ignores two quarters.
+    """
+    if n >= LONG:
+        return MASKS
+    if n < 5:
+        return ("1" * n,)
+    if n < 10:
+        return tuple("".join("0" if o == gone else "1" for o in range(n)) for gone in range(n))
+    return tuple("".join("0" if 4 * o // n in gone else "1" for o in range(n)) for gone in combinations(range(4), 2))
+
+
 def _hashes(text: Column) -> Column:
     """Hashes of the runs of letters and digits of a text, in lower case."""
-    return F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w))
+    return F.array_remove(F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+
 
+def _seeds(words: Column, at: Column, own: Iterable[str]) -> Column:
+    """(seed, span) of every mask laid at one position; beyond the end there are no words."""
 
-def _seeds(words: Column, at: Column) -> Column:
-    def seed(k: int, mask: str) -> Column:
+    def seed(mask: str) -> Column:
         picked = [F.get(words, at + o) for o, c in enumerate(mask) if c == "1"]
-        return F.struct(F.xxhash64(F.lit(k), *picked).alias("seed"), F.lit(len(mask)).alias("span"))
+        return F.struct(F.xxhash64(F.lit(mask), *picked).alias("seed"), F.lit(len(mask)).alias("span"))
 
-    return F.array(*(seed(k, m) for k, m in enumerate(MASKS)))
+    return F.array(*map(seed, own))
 
 
 def _pieces(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Distinct benchmark texts in pieces: (item, copies, piece, words)."""
+    """Distinct benchmark texts in pieces: (item, copies, piece, length, words); length is the item's if that has masks of its own."""
     items = benchmark.where(F.col(text_col).isNotNull()).groupBy(F.col(text_col).alias("text")).agg(F.min(id_col).alias("item"), F.count("*").alias("copies"))
-    items = items.select("item", "copies", F.transform(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("words")).where(F.size("words") >= SHORTEST)
+    items = items.select("item", "copies", _hashes(F.col("text")).alias("words")).where(F.size("words") > 0)
     step = PIECE - WINDOW
     count = F.greatest(F.lit(1), F.ceil((F.size("words") - WINDOW) / step)).cast("int")
     cut = items.withColumn("k", F.explode(F.sequence(F.lit(0), count - 1)))
-    return cut.select("item", "copies", F.xxhash64("item", "k", "words").alias("piece"), F.slice("words", F.col("k") * step + 1, PIECE).alias("words"))
+    return cut.select("item", "copies", F.xxhash64("item", "k", "words").alias("piece"), F.least(F.size("words"), F.lit(LONG)).alias("length"), F.slice("words", F.col("k") * step + 1, PIECE).alias("words"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -50,31 +74,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     (id, item, item_copies, similarity, first_word, last_word, hits, text_hash):
     some window of 15 aligned words (the whole item, if it is shorter) agrees in
-    4 of 5 words or more. Words are runs of letters and digits in lower case.
-    Equal items are one, under the smallest id. Items of fewer than 7 words
-    are ordinary phrases and never reported.
+    4 of 5 words or more. Words are runs of letters and digits in lower case,
+    counted from 0. Equal items are one, under the smallest id.
 
-    Null, empty or short texts on either side: no rows. Null ids: reported as
-    null, told apart by text_hash. Repeated documents: one row for each id and
-    text. Ties between windows: the highest similarity. Other columns are
-    ignored. Empty tables: no rows.
+    Null or empty texts on either side, and documents shorter than an item: no
+    rows. Null ids: reported as null, told apart by text_hash. Repeated
+    documents: one row for each id and text. Ties between windows: the highest
+    similarity. Other columns are ignored. Empty tables: no rows.
 
     The benchmark is broadcast in blocks of a bounded number of seeds, one pass
     over the documents for each; documents are never shuffled, only hits are.
     """
     pieces = _pieces(benchmark, item_col, item_text_col)
-    total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
-    blocks = max(1, -(-total * len(MASKS) // SEEDS))
-    words = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), _hashes(F.col(text_col)).alias("words")).where(F.size("words") >= SHORTEST)
-    at = words.select("id", "text_hash", "words", F.explode(F.sequence(F.lit(0), F.size("words") - SHORTEST)).alias("at"))
-    placed = at.select("id", "text_hash", "words", "at", F.explode(_seeds(F.col("words"), F.col("at"))).alias("s")).select("id", "text_hash", "words", "at", "s.seed")
+    lengths = pieces.groupBy("length").agg(F.sum(F.size("words")).alias("n")).collect()  # LONG rows at most
+    total = sum(r["n"] * len(masks(r["length"])) for r in lengths)
+    blocks = max(1, -(-total // SEEDS))
+    kinds = {r["length"]: masks(r["length"]) for r in lengths} or {LONG: MASKS}
+    every = dict.fromkeys(m for kind in kinds.values() for m in kind)
+    least = min(map(len, every))
+    words = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), _hashes(F.col(text_col)).alias("words")).where(F.size("words") >= least)
+    at = words.select("id", "text_hash", "words", F.explode(F.sequence(F.lit(0), F.size("words") - least)).alias("at"))
+    placed = at.select("id", "text_hash", "words", "at", F.explode(_seeds(F.col("words"), F.col("at"), every)).alias("s")).select("id", "text_hash", "words", "at", "s.seed")
     found = None
     for block in range(blocks):
         own = pieces.where(F.pmod(F.xxhash64("piece", F.lit(3)), F.lit(blocks)) == block)
-        seeds = own.select("piece", "words", F.explode(F.sequence(F.lit(0), F.size("words") - SHORTEST)).alias("q"))
-        seeds = seeds.select("piece", "q", F.size("words").alias("n"), F.explode(_seeds(F.col("words"), F.col("q"))).alias("s")).where(F.col("q") + F.col("s.span") <= F.col("n"))
-        seeds = seeds.groupBy("s.seed").agg(F.collect_set(F.struct("piece", "q", F.col("s.span").alias("span"))).alias("places"))
-        hits = placed.join(F.broadcast(seeds), "seed").withColumn("p", F.explode("places")).select("id", "text_hash", "words", "at", "p.piece", "p.q", "p.span")
+        each = own.select("piece", "words", "length", F.explode(F.sequence(F.lit(0), F.size("words") - least)).alias("q"))
+        mine = F.coalesce(*(F.when(F.col("length") == n, _seeds(F.col("words"), F.col("q"), kind)) for n, kind in kinds.items()))
+        seeds = each.select("piece", "q", F.size("words").alias("n"), F.explode(mine).alias("s")).where(F.col("q") + F.col("s.span") <= F.col("n"))
+        seeds = seeds.select(F.col("s.seed").alias("seed"), "piece", "q", F.col("s.span").alias("span")).distinct()
+        hits = placed.join(F.broadcast(seeds), "seed").select("id", "text_hash", "words", "at", "piece", "q", "span")
         hits = hits.join(F.broadcast(own.select("piece", "item", "copies", F.col("words").alias("own"))), "piece")
         part = _verified(hits)
         found = part if found is None else found.unionByName(part)
@@ -102,6 +130,12 @@ def _verified(hits: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that hold no benchmark passage, with all their columns; null and empty texts stay."""
-    found = contaminated(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text_col)) == F.col("_hash")), "left_anti")
+    """The documents that hold no benchmark passage, with all their columns, whatever they are called.
+
+    Null, empty and short texts stay, null ids are judged by their text; of
+    repeated rows all stay or go. An empty table gives no rows.
+    """
+    own, text = fresh(docs.columns, "own", "text_hash")
+    found = contaminated(docs, benchmark, id_col, text_col, **options).select(F.col(id_col).alias(own), F.col("text_hash").alias(text)).distinct()
+    found = Scratch(docs.sparkSession, "decontamination").lookup(found, "found")
+    return docs.join(found, (F.xxhash64(F.col(text_col)) == F.col(text)) & F.col(id_col).eqNullSafe(F.col(own)), "left_anti")

@@ -20,8 +20,6 @@ def brute(docs, items):
         for k, u in items:
             item = tokens(u)
             w = min(d.WINDOW, len(item))
-            if len(item) < d.SHORTEST:
-                continue
             for shift in range(-len(item) + w, len(own) - w + 1):
                 for at in range(max(0, -shift), min(len(item), len(own) - shift) - w + 1):
                     same = sum(own[at + shift + j] == item[at + j] for j in range(w))
@@ -30,11 +28,52 @@ def brute(docs, items):
     return out
 
 
-def test_masks_meet_any_three_substitutions():
-    for gone in itertools.combinations(range(d.WINDOW), d.WINDOW - d.AGREE):
-        assert any(
-            all(at + o not in gone for o, c in enumerate(mask) if c == "1") for mask in d.MASKS for at in range(d.WINDOW - len(mask) + 1)
-        )
+def test_masks_meet_any_substitutions_that_count():
+    for n in range(1, d.WINDOW + 1):
+        for gone in itertools.combinations(range(n), n - -(-n * d.AGREE // d.WINDOW)):
+            assert any(all(at + o not in gone for o, c in enumerate(mask) if c == "1") for mask in d.masks(n) for at in range(n - len(mask) + 1))
+
+
+def test_short_items_match_all_alignments(spark):
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(60)}"
+    items = [(n, " ".join(word() for _ in range(n))) for n in range(1, 15)]
+    docs = []
+    for k in range(150):
+        text = [word() for _ in range(rng.randrange(1, 30))]
+        passage = items[k % len(items)][1].split()
+        for _ in range(rng.randrange(4)):
+            passage[rng.randrange(len(passage))] = word()
+        at = rng.randrange(len(text))
+        text[at:at] = passage if k % 3 else []
+        docs.append((k, " ".join(text)))
+    docs.append((900, items[5][1]))
+    found = d.contaminated(spark.createDataFrame([(*r, 0, "") for r in docs], DOCS), spark.createDataFrame([(*r, "") for r in items], ITEMS)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == brute(docs, items)
+    assert (900, 6) in {(r["doc_id"], r["item_id"]) for r in found}
+
+
+def test_positions_count_words(spark):
+    item = " ".join(f"word{k}" for k in range(20))
+    docs = [(1, item, 0, ""), (2, f"({item})", 0, ""), (3, f"- one two {item}!", 0, "")]
+    found = d.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, f'"{item}"', "")], ITEMS)).collect()
+    assert {r["doc_id"]: (r["first_word"], r["last_word"]) for r in found} == {1: (0, 19), 2: (0, 19), 3: (2, 21)}
+
+
+def test_a_seed_of_thousands_of_items(spark):
+    shared = "these seven words stand in every item"
+    items = [(k, f"{shared} a{k} b{k} c{k} d{k} e{k} f{k} g{k} h{k}", "") for k in range(3000)]
+    docs = [(k, f"x {items[7 * k][1]} y" if k % 2 else f"{shared} alone", 0, "") for k in range(200)]
+    found = d.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(k, 7 * k) for k in range(1, 200, 2)]
+
+
+def test_clashing_columns(spark):
+    names = "doc_id long, text string, own long, text_hash long, item long, Own_ string"
+    text = " ".join(f"word{k}" for k in range(20))
+    df = spark.createDataFrame([(1, text, 5, 6, 7, "a"), (2, "clean", 5, 6, 7, "b")], names)
+    kept = d.decontaminate(df, spark.createDataFrame([(1, text, "")], ITEMS))
+    assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == [(2, "clean", 5, 6, 7, "b")]
 
 
 def test_matches_all_alignments(spark):
