@@ -16,52 +16,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.feistel import permute
-from tessera.llm.words import buffers, mix, release, spans
-from tessera.operators.running import running_sum
+from tessera.llm.graph import runs, stretches
+from tessera.llm.names import fresh
+from tessera.llm.words import buffers, lean, mix, release, spans
+from tessera.operators.running import rows_above, running_sum
 from tessera.sources.scratch import Scratch
 
 #: Words of a block, and output shards.
 BLOCK, SHARDS = 32, 64
 #: Slots that one row stands for before they are counted out.
 RUN = 1 << 16
-#: Sources have weights by name, so their list is on the driver; more is an error.
-MAX_SOURCES = 100_000
+#: Groups of sources whose counts per shard are drawn first; a group's sources draw within them.
+GROUPS = 1024
 
 
-@dataclass
-class Source:
-    name: str | None
-    weight: float
-    size: int
-    target: float = 0.0
-    slots: int = 0
-
-    @property
-    def blocks(self) -> int:
-        return -(-self.size // BLOCK)
-
-
-def targets(sources: list[Source], total: float, most: float) -> None:
-    """Shares ``total`` by weight; no target above ``most`` times its source's size, the excess reshared until none is."""
-    open_, left = [s for s in sources if s.size], total
-    while open_:
-        unit = left / sum(s.weight for s in open_)
-        over = [s for s in open_ if unit * s.weight > most * s.size]
-        for s in over or open_:
-            s.target = most * s.size if over else unit * s.weight
-        if not over:
+def targets(sources: DataFrame, total: float, most: float) -> DataFrame:
+    """``sources`` (weight, size, ...) with ``target``: ``total`` shared by weight, no target above ``most``
+    times its source's size, the excess reshared until none is.
+
+    A source stops if the share of a unit of weight is above its own limit; the
+    unit only grows as sources stop, so each pass over the table settles it
+    for some more of them.
+    """
+    limit = most * F.col("size")
+    share = lambda unit: F.lit(unit) * F.col("weight")
+    unit = 0.0
+    while True:
+        over = share(unit) > limit
+        taken, weight = sources.where("size > 0").agg(F.sum(F.when(over, limit)), F.sum(F.when(~over, F.col("weight")))).first()
+        if not weight or (total - (taken or 0)) / weight <= unit:
             break
-        left -= sum(s.target for s in over)
-        open_ = [s for s in open_ if s not in over]
+        unit = (total - (taken or 0)) / weight
+    return sources.withColumn("target", F.when(F.col("size") > 0, F.least(share(unit) if weight else limit, limit)).otherwise(0.0).cast("double"))
 
 
-def draws(sources: list[Source], shards: int, seed: int) -> np.ndarray:
-    """Slots of each source in each shard: multinomial draws over what is left, so a source's slots add up to its own."""
-    rng = np.random.default_rng(seed)
-    left = np.array([s.slots for s in sources], np.int64)
-    out = np.zeros((shards, len(sources)), np.int64)
-    for h in range(shards):
-        want = int(left.sum()) // (shards - h)
+def draws(slots: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Slots of each source in shards of given sizes: multinomial draws over what is left, so a source's slots add up to its own."""
+    left = slots.astype(np.int64).copy()
+    out = np.zeros((len(sizes), len(left)), np.int64)
+    for h, want in enumerate(sizes.tolist()):
         while want:
             got = np.minimum(rng.multinomial(want, left / left.sum()), left)
             out[h] += got
@@ -70,16 +63,36 @@ def draws(sources: list[Source], shards: int, seed: int) -> np.ndarray:
     return out
 
 
+_RUNS = "shard int, source_id long, first long, n long, blocks long, key long"
+
+
+def _shares(batches, counts: np.ndarray, seed: int):
+    """The runs of slots that each source has in each shard, from sources sorted by group."""
+    groups = (t.slice(lo, hi - lo) for t in runs(batches, ["part"]) for lo, hi in stretches(t, ["part"]))
+    for t in groups:
+        part = t.column("part")[0].as_py()
+        ids, blocks = t.column("source_id").to_numpy(), t.column("blocks").to_numpy()
+        own = draws(t.column("slots").to_numpy(), counts[:, part], np.random.default_rng([seed, part]))
+        first = np.cumsum(own, axis=0) - own
+        keys = mix((np.int64(seed * 1_000_003) + ids).astype(np.uint64)).view(np.int64)
+        h, k = np.nonzero(own)
+        for lo in range(0, len(h), 1 << 16):
+            a, b = h[lo : lo + (1 << 16)], k[lo : lo + (1 << 16)]
+            columns = a.astype(np.int32), ids[b], first[a, b], own[a, b], blocks[b], keys[b]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "source_id", "first", "n", "blocks", "key"])
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 @dataclass
 class Mixture:
-    sources: list[Source]
+    sources: DataFrame  # source_id, source, size, target, slots
     placed: DataFrame  # id, text_hash, source_id, size, start: each document in its source's words
     slots: DataFrame  # shard, source_id, block: what each output shard holds
     pieces: DataFrame  # id, text_hash, source_id, size, start, block, words, uses
+    repeated: int  # rows that share id, text and source with others
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = 29) -> Mixture:
@@ -88,6 +101,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     Sources in order of code points, null last, take ``weights`` in turn and
     share ``share`` times all words. A block is used ``most`` times at most, in
     whole passes over a permutation of all blocks before any is used again.
+    Sources are a table, of any number: their ranks and targets are aggregates,
+    shards draw counts of GROUPS groups of sources on the driver and those of
+    the sources of a group on executors.
     The same rows and seed give the same mixture in any partitioning.
 
     Null, empty and blank texts: size 0, nothing taken. Null ids and repeated
@@ -98,24 +114,29 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     scratch = Scratch(spark, "mixing")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     sized = scratch.cut(rows, "sizes")
-    found = [(r["source"], r["size"], r["n"]) for r in sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()]
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda x: (x[0] is None, x[0] or ""))
-    sources = [Source(name, weights[k % len(weights)], int(size)) for k, (name, size, _) in enumerate(found)]
-    targets(sources, share * sum(s.size for s in sources), most)
-    for s in sources:
-        s.slots = min(most * s.blocks, round(s.target * s.blocks / s.size)) if s.size else 0
-    named = spark.createDataFrame([(s.name, k) for k, s in enumerate(sources)], "name string, source_id int")
-    known = sized.join(named, F.col("source").eqNullSafe(F.col("name"))).select("id", "text_hash", "source_id", "size")
-    placed = scratch.cut(running_sum(known, ["source_id"], ["id", "text_hash"], "size", "start", rows=sum(n for *_, n in found)), "placed")
-
-    counts = draws(sources, shards, seed)
-    first = np.cumsum(counts, axis=0) - counts
-    runs = [(h, k, int(first[h, k]), int(counts[h, k]), sources[k].blocks, int(mix(np.array([seed * 1_000_003 + k], np.uint64)).view(np.int64)[0])) for h in range(shards) for k in range(len(sources)) if counts[h, k]]
-    run = spark.createDataFrame(runs, "shard int, source_id int, first long, n long, blocks long, key long")
+    named, total = scratch.measured(sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "sources", size=F.sum("size"), names=F.count("source"), n=F.sum("n"))
+    words, n = total["size"] or 0, total["n"] or 0
+    rank = F.when(F.col("source").isNull(), F.lit(total["names"])).otherwise(F.lit(total["names"]) - 1 - F.col("above"))
+    turn = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod("source_id", F.lit(len(weights))) + 1).cast("int"))
+    ranked = scratch.cut(rows_above(named, "source", "above").withColumn("source_id", rank.cast("long")).withColumn("weight", turn), "ranked")
+    blocks = F.ceil(F.col("size") / BLOCK)
+    slots = F.when(F.col("size") > 0, F.least(most * blocks, F.rint(F.col("target") * blocks / F.col("size")))).otherwise(0).cast("long")
+    settled = targets(ranked, share * words, most).withColumn("blocks", blocks.cast("long")).withColumn("slots", slots).withColumn("part", F.pmod("source_id", F.lit(GROUPS)).cast("int"))
+    sources = scratch.cut(settled.select("source_id", "source", "size", "target", "blocks", "slots", "part"), "targets")
+    known = sized.join(sources.select(F.col("source").alias("name"), "source_id"), F.col("source").eqNullSafe(F.col("name"))).select("id", "text_hash", "source_id", "size")
+    placed = scratch.cut(running_sum(known, ["source_id"], ["id", "text_hash"], "size", "start", rows=n), "placed")
+    again = placed.where("size > 0").groupBy("id", "text_hash", "source_id").agg(F.count("*").alias("n")).agg(F.sum(F.when(F.col("n") > 1, F.col("n")))).first()[0]
+
+    of = np.zeros(GROUPS, np.int64)
+    for r in sources.groupBy("part").agg(F.sum("slots").alias("slots")).collect():  # GROUPS rows at most
+        of[r["part"]] = r["slots"]
+    sizes = np.diff(int(of.sum()) * np.arange(shards + 1) // shards)
+    counts = draws(of, sizes, np.random.default_rng(seed))
+    shared = spark.sparkContext.broadcast(counts)
+    own = sources.where("slots > 0").select("part", "source_id", "blocks", "slots").repartition("part").sortWithinPartitions("part", "source_id")
+    run = scratch.cut(own.mapInArrow(lambda it: lean(_shares(it, shared.value, seed)), _RUNS), "runs")
     parts = run.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))))
-    parts = parts.repartition(max(1, sum(s.slots for s in sources) // (4 * RUN)), "shard", "source_id", "part")  # by slots: rows look small to adaptive execution
+    parts = parts.repartition(max(1, int(of.sum()) // (4 * RUN)), "shard", "source_id", "part")  # by slots: rows look small to adaptive execution
     end = F.least(F.col("n"), (F.col("part") + 1) * RUN)
     counted = parts.select("shard", "source_id", "blocks", "key", F.explode(F.sequence(F.col("first") + F.col("part") * RUN, F.col("first") + end - 1)).alias("slot"))
 
@@ -131,37 +152,46 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     covers = placed.where("size > 0").withColumn("block", F.explode(F.sequence(low, high)))
     words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest("start", F.col("block") * BLOCK)
     pieces = covers.withColumn("words", words).join(uses, ["source_id", "block"])
-    return Mixture(sources, placed, slots, pieces)
+    return Mixture(sources, placed, slots, pieces, again or 0)
 
 
 def taken(mixture: Mixture, id_col: str = "doc_id") -> DataFrame:
     """One row per document: (id, size, source_size, target, taken), taken counting repeats."""
-    spark = mixture.placed.sparkSession
     sums = mixture.pieces.groupBy("source_id", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
-    totals = spark.createDataFrame([(k, s.size, float(s.target)) for k, s in enumerate(mixture.sources)], "source_id int, source_size long, target double")
+    totals = mixture.sources.select("source_id", F.col("size").alias("source_size"), "target")
     some = mixture.placed.where("size > 0").join(sums, ["source_id", "start"], "left")
     none = mixture.placed.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
     out = some.unionByName(none).join(totals, "source_id")
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars", **options) -> DataFrame:
     """The mixture as documents: each row's text is cut to the words the mixture takes, with all columns.
 
     Words taken in the first pass come first, in order, with the white space
     after them; those that are taken again follow. Documents of which nothing
-    is taken are left out. ``length_col``, if there is one, is set to the new
-    text's characters.
+    is taken are left out, so null, empty and blank texts are. ``length_col``,
+    if there is one, is set to the new text's characters. Null ids, null
+    sources and repeated rows are documents like any other; columns may have
+    any names. An empty table gives no rows.
     """
-    mixture = mix_sources(docs, id_col=id_col, text_col=text_col, **options)
+    spark = docs.sparkSession
+    mixture = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    key, copy, k, c, cuts = fresh(docs.columns, "key", "copy", "own_key", "own_copy", "cuts")
+    # a row's key: two rows that share it by accident share it with probability 2^-64
+    of = lambda i, text, source: F.xxhash64(F.coalesce(i, F.lit(0)), i.isNull(), text, F.coalesce(source, F.lit("")), source.isNull())
+    cut_at = F.struct((F.greatest("start", F.col("block") * BLOCK) - F.col("start")).cast("int").alias("first"), F.col("words").cast("int").alias("words"), F.col("uses").cast("int").alias("uses"))
+    per = mixture.pieces.groupBy("id", "text_hash", "source_id", "start").agg(F.sort_array(F.collect_list(cut_at)).alias(cuts))
+    per = per.join(mixture.sources.select("source_id", "source"), "source_id")
     # repeated rows are numbered, so that each gets its own pieces
-    copies = Window.partitionBy("id", "text_hash", "source_id").orderBy("start")
-    per = mixture.pieces.groupBy("id", "text_hash", "source_id", "start").agg(F.sort_array(F.collect_list(F.struct((F.greatest("start", F.col("block") * BLOCK) - F.col("start")).cast("int").alias("first"), F.col("words").cast("int").alias("words"), F.col("uses").cast("int").alias("uses")))).alias("cuts"))
-    named = docs.sparkSession.createDataFrame([(k, s.name) for k, s in enumerate(mixture.sources)], "source_id int, _source string")
-    numbered = per.withColumn("copy", F.row_number().over(copies)).join(named, "source_id").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), "_source", F.col("copy").alias("_copy"), F.col("cuts").alias("_cuts"))
-    source = options.get("source_col", "source")
-    own = docs.withColumn("_h", F.xxhash64(text_col)).withColumn("_c", F.row_number().over(Window.partitionBy(id_col, "_h", source).orderBy(F.lit(0))))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")) & F.col(source).eqNullSafe(F.col("_source")) & (F.col("_c") == F.col("_copy"))
+    numbered = per.select(of(F.col("id"), F.col("text_hash"), F.col("source")).alias(k), "start", cuts).withColumn(c, F.row_number().over(Window.partitionBy(k).orderBy("start"))).select(k, c, cuts)
+    keyed = docs.withColumn(key, of(F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(source_col).cast("string")))
+    one = keyed.withColumn(copy, F.lit(1))
+    if mixture.repeated:
+        again = Scratch(spark, "mixing").lookup(keyed.groupBy(F.col(key).alias(k)).agg(F.count("*").alias("n")).where("n > 1").select(k), "again")
+        same = F.col(key) == F.col(k)
+        more = keyed.join(again, same, "left_semi").withColumn(copy, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))))
+        one = keyed.join(again, same, "left_anti").withColumn(copy, F.lit(1)).unionByName(more)
 
     @F.arrow_udf("string")
     def cut(text: pa.Array, cuts: pa.Array) -> pa.Array:
@@ -184,7 +214,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         release()
         return pa.array(out, pa.binary()).cast(pa.string())
 
-    joined = own.join(numbered, same).withColumn(text_col, cut(F.col(text_col), F.col("_cuts")))
+    joined = one.join(numbered, (F.col(key) == F.col(k)) & (F.col(copy) == F.col(c))).withColumn(text_col, cut(F.col(text_col), F.col(cuts)))
     if length_col in docs.columns:
         joined = joined.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return joined.select(*docs.columns)

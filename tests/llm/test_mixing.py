@@ -59,9 +59,9 @@ def test_slots_fill_shards_evenly(spark):
     assert len(per) == 8 and max(per.values()) - min(per.values()) <= 1
     uses = collections.Counter((r["source_id"], r["block"]) for r in slots)
     assert max(uses.values()) <= 2
-    for k, s in enumerate(mixture.sources):
-        own = [uses[k, b] for b in range(s.blocks)]
-        assert sum(own) == s.slots and (not own or max(own) - min(own) <= 1)
+    for s in mixture.sources.collect():
+        own = [uses[s["source_id"], b] for b in range(s["blocks"])]
+        assert sum(own) == s["slots"] and (not own or max(own) - min(own) <= 1)
 
 
 def test_mixed_documents_hold_what_is_taken(spark):
