@@ -34,6 +34,8 @@ from tessera.llm import words
 REMEMBERED = 2_000_000
 #: Bytes of text encoded at once.
 CHUNK = 1 << 19
+#: Bytes of text in a part, about.
+PART = 1 << 27
 #: Letters that normalisation leaves alone but for case, in UTF-8, between runs of ASCII punctuation. The tokenizer's
 #: pattern always cuts between letters and punctuation, but for an apostrophe before letters; "<" could begin the name
 #: of a special token.
@@ -170,7 +172,9 @@ def write_tokens(docs: DataFrame, directory: str, tokenizer: str, end_id: int, b
     system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     system.mkdirs(at)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    ranged = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART))
+    ranged = rows.repartitionByRange(parts, "id", "h").sortWithinPartitions("id", "h", "text")
     wide = encoder(tokenizer, by_word, end_id).dtype
 
     def write(batches):
@@ -207,13 +211,24 @@ def write_tokens(docs: DataFrame, directory: str, tokenizer: str, end_id: int, b
     return manifest
 
 
-def open_part(path: str, kind: str, dtype: str) -> np.ndarray:
-    """One of a part's files as an array: memory-mapped if local, else read."""
-    fs, at = pafs.FileSystem.from_uri(f"{path}.{kind}")
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(at, dtype, "r")
-    with fs.open_input_file(at) as f:
-        return np.frombuffer(f.read_buffer(), dtype)
+class PartFile:
+    """Ranges of one of a part's files: memory-mapped if local, else read as they are asked for."""
+
+    def __init__(self, path: str, kind: str, dtype: str):
+        fs, at = pafs.FileSystem.from_uri(f"{path}.{kind}")
+        self.dtype = np.dtype(dtype)
+        self.mapped = np.memmap(at, dtype, "r") if isinstance(fs, pafs.LocalFileSystem) and fs.get_file_info(at).size else None
+        self.file = None if self.mapped is not None else fs.open_input_file(at)
+
+    def __len__(self) -> int:
+        return len(self.mapped) if self.mapped is not None else self.file.size() // self.dtype.itemsize
+
+    def __getitem__(self, span: slice) -> np.ndarray:
+        lo, hi, _ = span.indices(len(self))
+        if self.mapped is not None:
+            return self.mapped[lo:hi]
+        width = self.dtype.itemsize
+        return np.frombuffer(self.file.read_at((hi - lo) * width, lo * width), self.dtype)
 
 
 def read_tokens(spark: SparkSession, manifest: Manifest, ids: bool = False) -> DataFrame:
@@ -226,11 +241,12 @@ def read_tokens(spark: SparkSession, manifest: Manifest, ids: bool = False) -> D
     def read(batches):
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens, offsets, names = (open_part(path, k, d) for k, d in (("tokens", dtype), ("offsets", "<u8"), ("ids", "<i8")))
-                for lo in range(0, len(names), 4096):
-                    own = offsets[lo : lo + 4097].astype(np.int64)
-                    name = np.array(names[lo : lo + 4096])
-                    cut = [tokens[a:b] for a, b in zip(own, own[1:], strict=False)]
+                tokens, offsets, names = (PartFile(path, k, d) for k, d in (("tokens", dtype), ("offsets", "<u8"), ("ids", "<i8")))
+                for lo in range(0, len(names), 1024):
+                    own = offsets[lo : lo + 1025].astype(np.int64)
+                    name = np.array(names[lo : lo + 1024])
+                    held = tokens[int(own[0]) : int(own[-1])]
+                    cut = [held[a:b] for a, b in zip(own - own[0], own[1:] - own[0], strict=False)]
                     columns = [pa.array(name, mask=name == NO_ID), pa.array(own[:-1] + base), pa.array(np.diff(own)), pa.array([zlib.crc32(t.astype("<u4").tobytes()) for t in cut], pa.int64())]
                     if ids:
                         columns.append(pa.array([t.astype(np.int64) for t in cut], pa.list_(pa.int64())))

@@ -66,8 +66,8 @@ def test_round_trip(spark, by_word):
     with open(f"{to.removeprefix('file://')}/manifest.json") as file:
         saved = json.load(file)
     assert [p["token_base"] for p in saved["parts"]] == [p.token_base for p in manifest.parts]
-    tokens = f.open_part(manifest.parts[0].path, "tokens", "<u2")
-    assert isinstance(tokens, np.memmap) and len(tokens) == manifest.parts[0].tokens
+    tokens = f.PartFile(manifest.parts[0].path, "tokens", "<u2")
+    assert isinstance(tokens.mapped, np.memmap) and len(tokens) == manifest.parts[0].tokens
 
 
 def test_odd_rows(spark):
