@@ -19,11 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words
+from tessera.sources.scratch import Scratch
 
 BUCKETS, HALF = 1 << 16, 8
 WIDTHS, FILTERS = (1, 2, 3), 8
 #: Labelled rows of each class that are learnt from, at most.
 POSITIVES, NEGATIVES = 3000, 6000
+#: Bytes of their words that the driver gets, four a word, at most: rows that would exceed it are not in the sample.
+BYTES = 1 << 26
 #: One sampled row in this many isn't trained on; these and all rows outside the sample calibrate thresholds.
 CALIBRATION = 6
 #: A language gets its own threshold from this many positive rows on.
@@ -191,16 +194,18 @@ def best_threshold(held: np.ndarray, total: np.ndarray) -> float:
     return float(GRID[top[np.abs(GRID[top] - 0.5).argmin()]])
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", positives: int = POSITIVES, negatives: int = NEGATIVES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic", positives: int = POSITIVES, negatives: int = NEGATIVES, most: int = BYTES) -> Model:
     """A model of label 1, from labelled rows whose id is ``usable``.
 
     Of each class the rows whose ids hash lowest are read, at most
-    ``positives`` and ``negatives``, and most are trained on; the others are
-    scored by executors, and counts by language, label and threshold choose
-    the thresholds. Null labels and ids are skipped, of several labels of an id the highest
-    counts, labels without a document are skipped. No labelled rows: a model
-    that scores everything near 0.
+    ``positives`` and ``negatives`` and together ``most`` bytes, whole texts
+    only, and most are trained on; the others are scored by executors, and
+    counts by language, label and threshold choose the thresholds. Null labels
+    and ids are skipped, of several labels of an id the highest counts, labels
+    without a document are skipped. No labelled rows: a model that scores
+    everything near 0.
     """
+    scratch = Scratch(docs.sparkSession, "toxicity")
     named = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     named = named if usable is None else named.where(usable)
     named = named.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
@@ -210,16 +215,25 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     picked = F.broadcast(chosen[0].unionByName(chosen[1]))  # positives + negatives rows at most
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
-    rows = texts.join(picked, "id").mapInArrow(lambda it: words.lean(_bucketed(it)), "id long, y int, lang string, ids binary").collect()
-    rows.sort(key=lambda r: (r["id"], bytes(r["ids"])))
-    ids = [np.frombuffer(r["ids"], np.uint16).reshape(-1, 2) for r in rows]
-    y = np.array([r["y"] for r in rows], np.int64)
-    apart = np.zeros(len(rows), bool)
-    doc_ids = np.array([r["id"] for r in rows], np.int64)
+    rows = scratch.cut(texts.join(picked, "id").mapInArrow(lambda it: words.lean(_bucketed(it)), "id long, y int, ids binary").distinct(), "sample")
+    # repeated ids have several texts; the sample's order is that of the hashes, so rows left out are any rows
+    size = rows.groupBy("id", "y").agg(F.sum(F.octet_length("ids") + 64).alias("size")).orderBy(order, "id").collect()  # positives + negatives rows at most
+    held, fits = 0, []
+    for r in size:
+        if held + r["size"] <= most:
+            held += r["size"]
+            fits.append((r["id"],))
+    chosen = rows.join(F.broadcast(docs.sparkSession.createDataFrame(fits, "id long")), "id", "left_semi").select("id", "y", "ids").orderBy("id", "ids").toArrow()
+    ids = [np.frombuffer(b.as_buffer(), np.uint16).reshape(-1, 2) for b in chosen.column("ids")]
+    y, doc_ids = chosen.column("y").to_numpy().astype(np.int64), chosen.column("id").to_numpy()
+    scratch.free(rows)
+    apart = np.zeros(len(y), bool)
     for k in (0, 1):  # both classes are needed on either side; rows of one id stay on one
         apart |= np.isin(doc_ids, np.unique(doc_ids[y == k])[CALIBRATION - 1 :: CALIBRATION])
     model = fit([d for d, c in zip(ids, apart, strict=True) if not c], y[~apart])
-    if not len(rows) or not y.any():
+    del chosen, ids
+    words.release()
+    if not len(y) or not y.any():
         model.offset = -10.0
         return model
     sampled, whole = (y == 1).sum() / max(1, (y == 0).sum()), counts.get(1, 0) / max(1, counts.get(0, 0))
@@ -257,7 +271,7 @@ def _bucketed(batches):
         ids = [b""] * batch.num_rows
         for r, h in words.texts(batch.column("text"), words.PLAIN):
             ids[r] = buckets(h).astype(np.uint16).tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), batch.column("lang"), pa.array(ids, pa.binary())], ["id", "y", "lang", "ids"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(ids, pa.binary())], ["id", "y", "ids"])
 
 
 def scorer(spark, model: Model):
