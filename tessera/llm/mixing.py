@@ -151,7 +151,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     low, high = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
     covers = placed.where("size > 0").withColumn("block", F.explode(F.sequence(low, high)))
     words = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest("start", F.col("block") * BLOCK)
-    pieces = covers.withColumn("words", words).join(uses, ["source_id", "block"])
+    # by hint, as what is counted out looks small until then
+    pieces = covers.withColumn("words", words).join(uses.hint("merge"), ["source_id", "block"])
     return Mixture(sources, placed, slots, pieces, again or 0)
 
 
