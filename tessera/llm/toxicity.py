@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words
-from tessera.sources.scratch import Scratch
+from tessera.sources.scratch import BROADCAST, Scratch
 
 BUCKETS, HALF = 1 << 16, 8
 WIDTHS, FILTERS = (1, 2, 3), 8
@@ -208,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     scratch = Scratch(docs.sparkSession, "toxicity")
     named = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     named = named if usable is None else named.where(usable)
-    named = named.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y"))
+    named, found = scratch.measured(named.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("y")), "labels", n=F.count("*"))
     counts = {r["y"]: r["n"] for r in named.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64("id", F.lit(17))
     chosen = [named.where(F.col("y") == k).orderBy(order, "id").limit(n) for k, n in ((1, positives), (0, negatives))]
@@ -240,7 +240,10 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
     if (y == 0).any() and counts.get(0):
         model.offset += float(np.log(whole / sampled))  # the sample's share of positives isn't the corpus's
     shared = docs.sparkSession.sparkContext.broadcast((model, np.unique(doc_ids[~apart])))
-    reached = texts.where(F.col("id").isNotNull()).mapInArrow(lambda it: words.lean(_reached(it, *shared.value)), "id long, lang string, reached int")
+    able = texts.where(F.col("id").isNotNull())
+    if found["n"] <= BROADCAST:  # else texts would be shuffled to their labels, which costs more than scoring those without
+        able = able.join(F.broadcast(named.select("id")), "id", "left_semi")
+    reached = able.mapInArrow(lambda it: words.lean(_reached(it, *shared.value)), "id long, lang string, reached int")
     found = reached.join(named, "id").groupBy("lang", "y", "reached").agg(F.count("*").alias("n")).collect()  # languages x 2 x 63 rows
     shared.destroy()  # Python workers stay, and would keep the model and its tables
     held, total = defaultdict(lambda: np.zeros((2, len(GRID) + 1))), defaultdict(lambda: np.zeros(2))
