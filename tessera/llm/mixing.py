@@ -82,6 +82,22 @@ def _shares(batches, counts: np.ndarray, seed: int):
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shard", "source_id", "first", "n", "blocks", "key"])
 
 
+def _blocks(batches):
+    """The block that fills each slot of the runs, a run's ``part`` telling which RUN of its slots."""
+    for b in batches:
+        shard, source, first, n, blocks, key, part = (b.column(c).to_numpy() for c in ("shard", "source_id", "first", "n", "blocks", "key", "part"))
+        size = np.minimum(n - part * RUN, RUN)
+        sums, lo = np.concatenate([[0], np.cumsum(size)]), 0
+        while lo < len(size):
+            hi = max(lo + 1, int(np.searchsorted(sums, sums[lo] + RUN, side="right")) - 1)
+            row = np.repeat(np.arange(lo, hi), size[lo:hi])
+            slot = first[row] + part[row] * RUN + np.arange(len(row)) - (sums[row] - sums[lo])
+            turn = mix((slot // blocks[row]).astype(np.uint64) + np.uint64(1)).view(np.int64)  # each pass has its own permutation
+            block = permute(slot % blocks[row], blocks[row], key[row] ^ turn)
+            yield pa.RecordBatch.from_arrays([pa.array(shard[row]), pa.array(source[row]), pa.array(block)], ["shard", "source_id", "block"])
+            lo = hi
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
@@ -137,16 +153,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     run = scratch.cut(own.mapInArrow(lambda it: lean(_shares(it, shared.value, seed)), _RUNS), "runs")
     parts = run.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / RUN))))
     parts = parts.repartition(max(1, int(of.sum()) // (4 * RUN)), "shard", "source_id", "part")  # by slots: rows look small to adaptive execution
-    end = F.least(F.col("n"), (F.col("part") + 1) * RUN)
-    counted = parts.select("shard", "source_id", "blocks", "key", F.explode(F.sequence(F.col("first") + F.col("part") * RUN, F.col("first") + end - 1)).alias("slot"))
-
-    @F.arrow_udf("long")
-    def block(slot: pa.Array, blocks: pa.Array, key: pa.Array) -> pa.Array:
-        at, n = slot.to_numpy(), blocks.to_numpy()
-        own = key.to_numpy() ^ mix((at // n).astype(np.uint64) + np.uint64(1)).view(np.int64)  # each pass has its own permutation
-        return pa.array(permute(at % n, n, own))
-
-    slots = counted.select("shard", "source_id", block("slot", "blocks", "key").alias("block"))
+    slots = parts.mapInArrow(lambda it: lean(_blocks(it)), "shard int, source_id long, block long")
     uses = slots.groupBy("source_id", "block").agg(F.count("*").alias("uses"))
     low, high = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
     covers = placed.where("size > 0").withColumn("block", F.explode(F.sequence(low, high)))
@@ -198,7 +205,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def cut(text: pa.Array, cuts: pa.Array) -> pa.Array:
         data, offsets = buffers(text)
         at, fields = cuts.offsets.to_numpy(), [cuts.values.field(k).to_numpy() for k in ("first", "words", "uses")]
-        out = []
+        out, stop = bytearray(), np.zeros(len(text) + 1, np.int32)
         for r in range(len(text)):
             own = offsets[r : r + 2]
             raw = data[own[0] : own[1]].tobytes()
@@ -211,9 +218,10 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 taken += [raw[a:b] for a, b in zip(starts[first[now]].tolist(), stops[(first + words - 1)[now]].tolist(), strict=True)]
                 if taken and not taken[-1][-1:].isspace():
                     taken.append(b" ")
-            out.append(b"".join(taken).strip())
+            out += b"".join(taken).strip()
+            stop[r + 1] = len(out)
         release()
-        return pa.array(out, pa.binary()).cast(pa.string())
+        return pa.Array.from_buffers(pa.string(), len(text), [None, pa.py_buffer(stop), pa.py_buffer(out)])
 
     joined = one.join(numbered, (F.col(key) == F.col(k)) & (F.col(copy) == F.col(c))).withColumn(text_col, cut(F.col(text_col), F.col(cuts)))
     if length_col in docs.columns:
