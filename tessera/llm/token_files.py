@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import gc
 import json
+import os
 import re
 import uuid
 import zlib
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import words
 
-#: Words whose ids a worker remembers, about 30 bytes each; beyond it starts anew.
+#: Words whose ids a worker remembers, about 20 bytes each; beyond them, or 8 times as many ids, it starts anew.
 REMEMBERED = 2_000_000
 #: Bytes of text encoded at once.
 CHUNK = 1 << 19
@@ -54,6 +55,7 @@ class Encoder:
     """
 
     def __init__(self, path: str, by_word: bool, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would each keep memory
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -67,7 +69,7 @@ class Encoder:
     def forget(self) -> None:
         """Keys of known words in order, each with its place in the flat ids; the end id is at place 0."""
         self.keys = np.zeros(0, np.uint64)
-        self.place, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.place, self.length = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat, self.used = np.full(1 << 16, self.end_id, self.dtype), 1
 
     def _each(self, texts: list[str]) -> list[list[int]]:
@@ -97,12 +99,12 @@ class Encoder:
             ids = self._words(words)
         finally:
             gc.enable()
-        length = np.array([len(i) for i in ids], np.int64)
-        total = int(length.sum())
+        length = np.array([len(i) for i in ids], np.int32)
+        total = int(length.sum(dtype=np.int64))
         if self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), total), self.dtype)])
         self.flat[self.used : self.used + total] = np.fromiter((x for i in ids for x in i), self.dtype, total)
-        place = self.used + np.cumsum(length) - length
+        place = (self.used + np.cumsum(length, dtype=np.int64) - length).astype(np.int32)
         self.used += total
         at = np.searchsorted(self.keys, keys)
         self.keys, self.place, self.length = (np.insert(old, at, new) for old, new in ((self.keys, keys), (self.place, place), (self.length, length)))
@@ -118,7 +120,7 @@ class Encoder:
                 continue
             keys, rows = words.hashed(data, part, lower=False)
             distinct, first, back = np.unique(keys, return_index=True, return_inverse=True)
-            if len(self.keys) > REMEMBERED:
+            if len(self.keys) > REMEMBERED or self.used > 8 * REMEMBERED:
                 self.forget()
             at = np.searchsorted(self.keys, distinct)
             new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != distinct) if len(self.keys) else np.arange(len(distinct))
@@ -127,7 +129,7 @@ class Encoder:
                 raw = data[part[0] : part[-1]].tobytes()
                 self._learn(distinct[new], [raw[starts[k] : ends[k]] for k in first[new]])
                 at = np.searchsorted(self.keys, distinct)
-            place, length = np.insert(self.place[at][back], rows[1:], 0), np.insert(self.length[at][back], rows[1:], 1)
+            place, length = (np.insert(x[at][back], rows[1:], end).astype(np.int64) for x, end in ((self.place, 0), (self.length, 1)))
             stops = np.cumsum(length)
             ids = self.flat[np.repeat(place - stops + length, length) + np.arange(stops[-1])]
             yield ids, np.add.reduceat(length, rows[:-1] + np.arange(hi - lo))
@@ -139,6 +141,9 @@ def encoder(path: str, by_word: bool, end_id: int) -> Encoder:
     return Encoder(path, by_word, end_id)
 
 
+words.kept["encoder"] = encoder.cache_clear
+
+
 @dataclass
 class Part:
     order: int
@@ -199,7 +204,7 @@ def write_tokens(docs: DataFrame, directory: str, tokenizer: str, end_id: int, b
             f.write(offsets.astype("<u8").tobytes())
         yield pa.RecordBatch.from_pydict({"order": [TaskContext.get().partitionId()], "path": [name], "docs": [len(offsets) - 1], "tokens": [int(offsets[-1])]}, schema=pa.schema([("order", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
-    parts = [Part(*r) for r in sorted(ranged.mapInArrow(lambda it: words.lean(write(it)), "order int, path string, docs long, tokens long").collect())]  # one row for each partition
+    parts = [Part(*r) for r in sorted(ranged.mapInArrow(lambda it: words.lean(write(it), "encoder"), "order int, path string, docs long, tokens long").collect())]  # one row for each partition
     docs_before = tokens_before = 0
     for p in parts:
         p.doc_base, p.token_base = docs_before, tokens_before
@@ -252,4 +257,4 @@ def read_tokens(spark: SparkSession, manifest: Manifest, ids: bool = False) -> D
                         columns.append(pa.array([t.astype(np.int64) for t in cut], pa.list_(pa.int64())))
                     yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    return parts.mapInArrow(lambda it: words.lean(read(it)), schema)
+    return parts.mapInArrow(lambda it: words.lean(read(it), "encoder"), schema)

@@ -262,7 +262,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
 
 def _reached(batches, model: Model, trained: np.ndarray):
     """How many thresholds of GRID each text's score reaches; -1 for texts that the model was trained on."""
-    for b in batches:
+    for b in words.slices(batches):
         new = ~np.isin(b.column("id").to_numpy(), trained)
         reached = np.full(b.num_rows, -1, np.int32)
         reached[new] = np.searchsorted(GRID, model.scores(b.column("text").filter(pa.array(new))), side="right")
@@ -270,7 +270,7 @@ def _reached(batches, model: Model, trained: np.ndarray):
 
 
 def _bucketed(batches):
-    for batch in batches:
+    for batch in words.slices(batches):
         ids = [b""] * batch.num_rows
         for r, h in words.texts(batch.column("text"), words.PLAIN):
             ids[r] = buckets(h).astype(np.uint16).tobytes()

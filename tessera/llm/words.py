@@ -8,7 +8,7 @@ texts count as empty.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +25,31 @@ PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = 32
 CHUNK = 1 << 18
 
 
-def lean(batches: Iterable) -> Iterator:
-    """The batches of a task; at its end the worker, which stays for other tasks, gives freed memory back."""
+#: Functions that empty what operators keep in a worker between tasks, by operator.
+kept: dict[str, Callable[[], None]] = {}
+
+
+def lean(batches: Iterable, own: str = "") -> Iterator:
+    """The batches of a task; at its end the worker, which stays for other tasks, gives freed memory back.
+
+    What operators but ``own`` have kept from earlier tasks goes first.
+    """
+    for name, empty in kept.items():
+        if name != own:
+            empty()
     try:
         yield from batches
     finally:
         release()
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, a few at a time, so that copies of them stay small."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def release() -> None:
     """Returns freed memory to the system; Arrow's pool and the C library keep it otherwise."""
     pa.default_memory_pool().release_unused()
@@ -146,8 +163,8 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
 def texts(column: pa.Array, table: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
     """(row, hashes of its words) for each row of a string column; ``table`` replaces bytes first."""
     data, offsets = buffers(column)
-    data = data if table is None else table[data]
     for lo, hi in chunks(offsets):
-        words, at = hashed(data, offsets[lo : hi + 1])
+        part = offsets[lo : hi + 1]
+        words, at = hashed(data, part) if table is None else hashed(table[data[part[0] : part[-1]]], part - part[0])
         for r in range(lo, hi):
             yield r, words[at[r - lo] : at[r - lo + 1]]
