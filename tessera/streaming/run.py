@@ -15,13 +15,42 @@ def events(spark: SparkSession, path: str, schema, delay: str | None = "1 hour",
     return stream.withWatermark("ts", delay) if delay else stream
 
 
+#: When the first file of a folder made by ``in_parts`` says it was written, in milliseconds; the next ones follow by a second each.
+_FIRST = 1_700_000_000_000
+
+
 def in_parts(df: DataFrame, scratch: Scratch, order: str, parts: int) -> str:
-    """``df`` as ``parts`` files or more in the order of a column, to be streamed one at a time."""
+    """``df`` as ``parts`` files at most, in the order of an integer column, to be streamed one at a time.
+
+    A stream takes files by the time of their last change. Parts are equal
+    ranges of the column, cut at fixed places, and their times are set in that
+    order: a later range can't come first, move the watermark and make the
+    rows of an earlier one late.
+    """
     path = scratch.path("parts")
-    df.repartitionByRange(parts, order).sortWithinPartitions(order).write.parquet(path)
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        df.write.parquet(path)
+        return path
+    span = high - low + 1
+    cuts = [low + span * k // parts for k in range(parts + 1)]
+    for k in range(parts):
+        own = df.where((F.col(order) >= cuts[k]) & (F.col(order) < cuts[k + 1]))
+        own.coalesce(1).sortWithinPartitions(order).write.mode("append").parquet(path)
+        in_order(scratch, path, k)
     return path
 
 
+def in_order(scratch: Scratch, path: str, k: int) -> None:
+    """Sets the times of the files that were added as part ``k`` after those of earlier parts."""
+    jvm = scratch.spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(scratch.spark.sparkContext._jsc.hadoopConfiguration())
+    for status in system.listStatus(at):
+        if status.getModificationTime() >= _FIRST + 1_000_000_000:  # not set yet
+            system.setTimes(status.getPath(), _FIRST + 1000 * k, -1)
+
+
 def finish(stream: DataFrame, scratch: Scratch, mode: str = "append") -> DataFrame:
     """Runs a stream over everything available and returns its sink as a batch.
 
