@@ -9,6 +9,7 @@ equal pseudonyms in every document, different values different ones.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 
@@ -165,21 +166,39 @@ KINDS: list[tuple[str, re.Pattern, Callable[[re.Match, bytes], str | None]]] = [
 ]
 
 
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+
+
+def _mail(text: str, at: int) -> re.Match | None:
+    """The first e-mail address from ``at`` on: what stands around each @, so that long runs without one are passed over once."""
+    pattern = KINDS[0][1]
+    while (mark := text.find("@", at)) >= 0:
+        low = mark
+        while low > at and text[low - 1] in _LOCAL:
+            low -= 1
+        while low < mark and not text[low].isalnum():
+            low += 1
+        if m := low < mark and pattern.match(text, low):
+            return m
+        at = mark + 1
+    return None
+
+
 def find(text: str, key: bytes) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, pseudonym) of the valid values of a text, in order; positions in characters."""
     if not _HINT.search(text):
         return []
     found: list[tuple[str, int, int, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # in order, none overlaps another
     for kind, pattern, image in KINDS:
-        if kind == "email" and "@" not in text:
-            continue
+        look = _mail if kind == "email" else pattern.search
         at = 0
-        while m := pattern.search(text, at):
+        while m := look(text, at):
             # a match may have swallowed what stands around the value: shorter ones end and start at a space
             for end in (m.end(), *(m.start() + k for k in range(len(m[0]) - 1, 0, -1) if m[0][k] == " ")):
                 part = m if end == m.end() else pattern.fullmatch(text, m.start(), end)
-                if part is None or any(a < end and m.start() < b for a, b in taken):
+                near = bisect_left(taken, (end, 0)) - 1  # of the values that begin before this ends, the last ends last
+                if part is None or near >= 0 and taken[near][1] > m.start():
                     continue
                 new = image(part, key)
                 if new is not None:
@@ -189,7 +208,7 @@ def find(text: str, key: bytes) -> list[tuple[str, int, int, str]]:
             else:
                 gap = text.find(" ", m.start(), m.end())
                 at = m.end() if gap < 0 else gap + 1
-        taken = [(a, b) for _, a, b, _ in found]
+        taken = sorted((a, b) for _, a, b, _ in found)
     return sorted(found, key=lambda f: f[1])
 
 

@@ -110,3 +110,30 @@ def test_documents(spark):
     new = {(r["doc_id"], r["text"]) for r in whole.collect()}
     assert new == {(k, by[k]["text"] if k in by else t) for k, t, *_ in rows}
     assert p.private_values(df.limit(0), KEY).count() == p.pseudonymise(df.limit(0), KEY).count() == 0
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    for text in ("a" * 1_000_000 + " x@y.example.org", "x@" + "a" * 500_000 + " " + "b" * 500_000, "x@" + "ab-" * 300_000, "a.b@" * 200_000, "1" * 1_000_000, "DE89" + "A" * 1_000_000 + "@"):
+        began = time.perf_counter()
+        p.find(text, KEY)
+        assert time.perf_counter() - began < 20
+    many = " ".join(f"user{k}@example.org 10.{k % 200}.{k // 200 % 200}.7" for k in range(20_000))
+    began = time.perf_counter()
+    assert len(p.find(many, KEY)) == 40_000
+    assert time.perf_counter() - began < 60
+
+
+def test_addresses_are_those_of_the_pattern():
+    import random
+
+    rng = random.Random(6)
+    pattern = p.KINDS[0][1]
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "b1", ".", "-", "@", "@", " ", "com", ".org", "_", "é", "+"]) for _ in range(rng.randrange(1, 25)))
+        at, got = 0, []
+        while m := p._mail(text, at):
+            got.append(m.span())
+            at = m.end()
+        assert got == [m.span() for m in pattern.finditer(text)], text
