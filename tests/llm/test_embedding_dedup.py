@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from brute import components
 
-from tessera.llm.embedding_dedup import link_embeddings
+from tessera.llm.embedding_dedup import link_embeddings, shape
 
 SCHEMA = "vec_id long, embedding array<float>, label int, note string"
 
@@ -42,15 +42,18 @@ def test_odd_rows(spark):
     rows = [
         (1, None, 0, ""), (2, [0.0, 0.0], 0, ""), (3, [1.0, None], 0, ""), (4, [nan, 1.0], 0, ""), (5, [inf, 1.0], 0, ""), (6, [], 0, ""),
         (7, [1.0, 2.0], None, ""), (8, [1.0, 2.0], None, ""), (9, [1.0, 2.0], 3, ""), (10, [2.0, 4.0], 3, ""), (11, [1.0, 2.0], 3, ""), (11, [1.0, 2.0], 3, ""),
-        (12, [1.0, 2.0, 0.0], 3, ""), (None, [1.0, 2.0], 3, ""),
+        (12, [1.0, 2.0, 0.0], 3, ""), (None, [1.0, 2.0], 3, ""), (None, [1.0, 2.0], 8, ""), (None, [1.0, 2.0], 8, ""), (13, [1.0, 2.0001], 8, ""),
     ]
     out = link_embeddings(spark.createDataFrame(rows, SCHEMA)).collect()
     assert len(out) == len(rows)
+    assert sorted(r["n_links"] for r in out if r["vec_id"] is None) == [2, 2, 4]
     for r in out:
         if r["vec_id"] in (9, 10, 11):
             assert r["n_links"] == 4 and r["component_id"] == 9 and r["kept"] == (r["vec_id"] == 9)
         elif r["vec_id"] is None:
-            assert r["n_links"] == 4 and r["component_id"] is None and r["kept"]
+            assert r["component_id"] is None and r["kept"]
+        elif r["vec_id"] == 13:
+            assert r["n_links"] == 2 and r["component_id"] == 13
         else:
             assert r["n_links"] == 0 and r["component_id"] == r["vec_id"] and r["kept"]
 
@@ -65,3 +68,25 @@ def test_threshold(spark, cosine):
     rows = [(1, [1.0, 0.0], 0, ""), (2, [cosine, float(np.sqrt(1 - cosine**2))], 0, "")]
     links = [r["n_links"] for r in link_embeddings(spark.createDataFrame(rows, SCHEMA)).collect()]
     assert links == ([1, 1] if cosine > 0.98 else [0, 0])
+
+
+def test_labels_of_any_type(spark):
+    rows = [(k, [1.0, 2.0], label) for k, label in enumerate(["a", "a", "b", None, "1", "1"])]
+    out = {r["vec_id"]: r["component_id"] for r in link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect()}
+    assert out == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 4}
+    wide = [(k, [1.0, 2.0], 2**40 + k // 2) for k in range(4)]
+    out = {r["vec_id"]: r["component_id"] for r in link_embeddings(spark.createDataFrame(wide, "vec_id long, embedding array<float>, label long")).collect()}
+    assert out == {0: 0, 1: 0, 2: 2, 3: 2}
+
+
+@pytest.mark.parametrize("rows", [1000, 10**6, 10**9])
+def test_recall_of_thousands_of_links(spark, rows):
+    """Every link of noisy groups is found with the tables of any number of rows; groups are split over blocks."""
+    tables, bits = shape(rows, 0.98)
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((30, 32))
+    data = [(k, [float(x) for x in (centres[k % 30] + rng.standard_normal(32) * 0.1).astype(np.float32)], 0, "") for k in range(900)]
+    count, links = brute(data)
+    assert len(links) > 2000
+    out = {r["vec_id"]: r["n_links"] for r in link_embeddings(spark.createDataFrame(data, SCHEMA), tables=tables, bits=bits).collect()}
+    assert out == count
