@@ -16,8 +16,8 @@ from tessera.sources.scratch import Scratch
 
 #: A pair at the threshold shares no table with less probability, and differs in too many bits with less than the second.
 MISS, FAR = 4e-8, 1e-9
-#: Bits of a table's key that are chosen from.
-BITS = (16, 24, 32)
+#: Bits of a table's key that are chosen from, and bits of all tables that are compared first.
+BITS, HEAD = (16, 24, 32), 256
 _CODED = "id long, label long, dim int, d1 long, d2 long, codes binary, vec binary"
 
 
@@ -85,30 +85,34 @@ def _code(batches, tables: int, bits: int, seed: int):
         )
 
 
-def _words(codes: np.ndarray) -> np.ndarray:
-    """Each row's bytes as 64-bit words, with zeros behind."""
-    return np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8))).view(np.uint64)
+def _words(codes: np.ndarray, width: int, kind: str) -> np.ndarray:
+    """Each row's bytes as integers of ``width`` bytes each, with zeros behind."""
+    size = np.dtype(kind).itemsize
+    parts = np.pad(codes, ((0, 0), (0, -codes.shape[1] % width))).reshape(len(codes), -1, width)
+    return np.ascontiguousarray(np.pad(parts, ((0, 0), (0, 0), (0, size - width)))).view(kind)[:, :, 0]
 
 
-def _candidates(t: pa.Table, tables: int, far: int):
+def _candidates(t: pa.Table, tables: int, far: tuple[int, int]):
     """Pairs of rows of blocks that count here: equal labels and lengths, in the first table that they share, and near by their bits."""
     begins = graph.changes(t, ["key", "i", "j"])
     nk, label, dim, table, part = (t.column(c).to_numpy() for c in ("nk", "label", "dim", "table", "slice"))
     across = t.column("i").to_numpy() != t.column("j").to_numpy()
     codes = np.frombuffer(b"".join(t.column("codes").to_pylist()), np.uint8).reshape(len(nk), -1)
-    words, keys = _words(codes), codes.reshape(len(nk), tables, -1)
+    words, keys = _words(codes, 8, "u8"), _words(codes, codes.shape[1] // tables, "u4")
+    head = np.ascontiguousarray(words[:, : HEAD // 64])
     for i, j in graph.pairs(begins, 1 << 15):
         ok = (nk[i] != nk[j]) & (label[i] == label[j]) & (dim[i] == dim[j]) & (~across[i] | (part[i] != part[j]))
         i, j = i[ok], j[ok]
-        ok = np.bitwise_count(words[i] ^ words[j]).sum(axis=1) <= far
-        i, j = i[ok], j[ok]
-        same = (keys[i] == keys[j]).all(axis=2)
+        for own, most in ((head, far[0]), (words, far[1])):
+            ok = np.bitwise_count(own[i] ^ own[j]).sum(axis=1, dtype=np.int32) <= most
+            i, j = i[ok], j[ok]
+        same = keys[i] == keys[j]
         ok = same.argmax(axis=1) == table[i]
         ok &= same[np.arange(len(i)), table[i]]
         yield i[ok], j[ok]
 
 
-def _near(batches, tables: int, far: int):
+def _near(batches, tables: int, far: tuple[int, int]):
     """The members of blocks that have a candidate there."""
     for t in graph.runs(batches, ["key", "i", "j"]):
         some = np.zeros(t.num_rows, bool)
@@ -117,7 +121,7 @@ def _near(batches, tables: int, far: int):
         yield from t.select(_MEMBER).filter(pa.array(some)).combine_chunks().to_batches()
 
 
-def _link(batches, tables: int, far: int, threshold: float):
+def _link(batches, tables: int, far: tuple[int, int], threshold: float):
     """Links of each block as (node, weight of partners, smallest node reachable in the block)."""
     for t in graph.runs(batches, ["key", "i", "j"]):
         node, mult, dim = (t.column(c).to_numpy() for c in ("node", "mult", "dim"))
@@ -171,7 +175,7 @@ def link_embeddings(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     if tables is None or bits is None:
         largest = df.groupBy(label.alias("label")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
         tables, bits = shape(largest, threshold)
-    far = furthest(tables * bits, threshold)
+    far = furthest(min(HEAD, tables * bits), threshold), furthest(tables * bits, threshold)
     rows = df.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     coded = scratch.cut(rows.mapInArrow(lambda it: lean(_code(it, tables, bits, seed)), _CODED), "coded")
     able = coded.where("d1 is not null and label is not null")
