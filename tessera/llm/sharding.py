@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.mixing import word_count
+from tessera.llm.names import fresh
 from tessera.operators.running import running_sum
 from tessera.sources.scratch import Scratch
 
@@ -124,11 +125,15 @@ def assign_shards(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_
 def write_shards(df: DataFrame, directory: str, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the rows of ``df``, with all columns, as one folder of Parquet files per shard.
 
-    Large shards are several files, so no task holds a shard.
+    Folders are named by a column ``shard``, with underscores behind if ``df``
+    has one. Large shards are several files, so no task holds a shard. Null
+    ids and texts and repeated rows are rows like any other; rows that share
+    id and text are in one folder. An empty table writes no files.
     """
-    found = assign_shards(df, shards, id_col, text_col).groupBy(id_col, F.col("text_crc32").alias("_crc"), F.col("size").alias("_size")).agg(F.min("shard").alias("shard"))
+    shard, own, crc, size, c, s = fresh(df.columns, "shard", "own", "crc", "size", "own_crc", "own_size")
+    found = assign_shards(df, shards, id_col, text_col).groupBy(F.col(id_col).alias(own), F.col("text_crc32").alias(crc), F.col("size").alias(size)).agg(F.min("shard").alias(shard))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = df.withColumn("_c", F.crc32(text.cast("binary"))).withColumn("_s", (F.octet_length(text) + 8).cast("long"))
-    found = found.withColumnRenamed(id_col, "_id")
-    out = keyed.join(found, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_c") == F.col("_crc")) & (F.col("_s") == F.col("_size"))).select(*df.columns, "shard")
-    out.hint("rebalance", "shard").write.partitionBy("shard").parquet(directory)
+    keyed = df.withColumn(c, F.crc32(text.cast("binary"))).withColumn(s, (F.octet_length(text) + 8).cast("long"))
+    same = F.col(id_col).eqNullSafe(F.col(own)) & (F.col(c) == F.col(crc)) & (F.col(s) == F.col(size))
+    out = keyed.join(found, same).select(*df.columns, shard)
+    out.hint("rebalance", shard).write.partitionBy(shard).parquet(directory)
