@@ -1,14 +1,17 @@
 """Sharding by vector bin packing: bytes, words and rows are balanced jointly.
 
 Equal texts are a group and stay together unless the group is larger than a
-shard. Groups that matter for balance, and bundles of the many small ones, are
-placed on the driver where the dot product with the residual capacity is
-highest; their number is bounded whatever the table's size.
+shard. Each group is placed where the dot product with the residual capacity is
+highest: first the large ones, on the driver, whose number is bounded; then all
+small ones, by executors, in cells that each hold the same part of every
+shard's capacity; at last a bounded number of small ones that the driver kept
+back, which even out what the cells left.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,37 +20,56 @@ from tessera.llm.names import fresh
 from tessera.operators.running import running_sum
 from tessera.sources.scratch import Scratch
 
-#: Small groups share this many bundles, by the hash of their text.
-BUNDLES = 8192
-#: A group above this part of a shard in any dimension is placed on its own: at
-#: most shards * ALONE * 3 such groups exist.
-ALONE = 128
+#: A group above this part of a shard in any dimension is large: at most shards
+#: * ALONE * 3 such groups exist.
+ALONE = 1024
+#: So many small groups, those with the least hashes, are placed last.
+LATE = 4096
+#: Small groups in a cell, on average.
+CELL = 16_384
 #: A group above a whole shard is split into pieces of this part of one.
 SPLIT = 8
 DIMENSIONS = ("bytes", "words", "rows")
 
 
-def place(items: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each item (rows of bytes, words, rows), largest first.
+def place(share: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The shard of each item, largest first, and less of ``left``, which has the residual capacity of each shard.
 
-    Of the shards that an item still fits into, it goes where the dot product
-    with the residual capacity is highest; if it fits nowhere, where it
-    overruns least. Then single moves and swaps even out the bytes.
+    Rows of both are bytes, words and rows. Of the shards that an item still
+    fits into, it goes where the dot product with the residual capacity is
+    highest; if it fits nowhere, where it overruns least. Items of equal size
+    are placed in the order given.
     """
-    total = np.maximum(items.sum(axis=0), 1)
-    share = items / total * shards  # a shard's capacity is 1 in each dimension
-    order = np.lexsort((np.arange(len(items)), -share.sum(axis=1), -share.max(axis=1)))
-    left = np.ones((shards, items.shape[1]))
-    out = np.zeros(len(items), np.int64)
+    order = np.lexsort((np.arange(len(share)), -share.sum(axis=1), -share.max(axis=1, initial=0)))
+    out = np.zeros(len(share), np.int64)
     for k in order:
-        fits = (left >= share[k] - 1e-12).all(axis=1)
-        score = np.where(fits, left @ share[k], -np.inf) if fits.any() else (left - share[k]).min(axis=1)
-        out[k] = int(score.argmax())
-        left[out[k]] -= share[k]
-    return _even(share, out, left)
+        own = share[k]
+        fits = (left >= own - 1e-12).all(axis=1)
+        score = np.where(fits, left @ own, -np.inf) if fits.any() else (left - own).min(axis=1)
+        out[k] = at = int(score.argmax())
+        left[at] -= own
+    return out
+
+
+def _place_cells(left: np.ndarray, room: list[float]):
+    """What places the groups of one cell; it has as much of every shard's capacity as it has of the groups.
+
+    Cells look at the shards in orders of their own: of equal ones they take the
+    first, and the same in every cell would fill.
+    """
 
+    def step(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.sort_values(["h", "crc"])
+        share = cell[list(DIMENSIONS)].to_numpy(np.float64) / room
+        order = np.random.default_rng(int(key[0])).permutation(len(left))
+        free = np.maximum(left, 0)[order]
+        own = free * (share.sum(axis=0) / np.maximum(free.sum(axis=0), 1e-300))
+        return cell[["h", "crc", *DIMENSIONS]].assign(shard=order[place(share, own)].astype(np.int32))
 
-def _even(share: np.ndarray, out: np.ndarray, left: np.ndarray, rounds: int = 20_000) -> np.ndarray:
+    return step
+
+
+def even(share: np.ndarray, out: np.ndarray, left: np.ndarray, rounds: int = 20_000) -> np.ndarray:
     """Moves or swaps items between the fullest and the emptiest shard by bytes while that lowers the spread.
 
     Bytes weigh ten times as much as the other dimensions.
@@ -85,6 +107,11 @@ def _even(share: np.ndarray, out: np.ndarray, left: np.ndarray, rounds: int = 20
     return out
 
 
+def _halves(items: list) -> tuple[list, list]:
+    """Items that come first and those kept back, each in the order of their hash."""
+    return sorted(r for r in items if not r["late"]), sorted(r for r in items if r["late"])
+
+
 def assign_shards(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of each row: sizes of shards are near equal.
 
@@ -104,20 +131,35 @@ def assign_shards(df: DataFrame, shards: int = 24, id_col: str = "doc_id", text_
         "id", (F.octet_length("text") + 8).cast("long").alias("bytes"), word_count(F.col("text")).alias("words"), F.crc32(F.col("text").cast("binary")).alias("crc"), F.xxhash64("text").alias("h")
     )
     meta = scratch.cut(rows, "rows")
-    sums = [F.sum("bytes").alias("bytes"), F.sum("words").alias("words"), F.sum("rows").alias("rows")]
+    sums = [F.sum(d).alias(d) for d in DIMENSIONS]
     groups = scratch.cut(meta.withColumn("rows", F.lit(1)).groupBy("h", "crc").agg(*sums), "groups")
     total = groups.agg(*sums).first()
-    room = {d: max(1.0, (total[d] or 0) / shards) for d in DIMENSIONS}
-    most = F.greatest(*(F.col(d) / room[d] for d in DIMENSIONS))
+    room = [max(1.0, (total[d] or 0) / shards) for d in DIMENSIONS]
+    most = F.greatest(*(F.col(d) / r for d, r in zip(DIMENSIONS, room, strict=True)))
+    key, large = F.struct("h", "crc"), most > 1 / ALONE
+    last = groups.where(~large).select(key.alias("k")).orderBy("k").limit(LATE).agg(F.max("k").alias("k")).first()["k"]
+    late = F.lit(False) if last is None else ~large & (key <= F.struct(F.lit(last["h"]).alias("h"), F.lit(last["crc"]).alias("crc")))
     pieces = F.when(most > 1, F.ceil(most * SPLIT)).otherwise(1).cast("int")
-    large = groups.where(most > 1 / ALONE).select("h", "crc", pieces.alias("pieces"))
-    alone = F.xxhash64("h", "crc", F.pmod(F.xxhash64("id", F.lit(9)), F.col("pieces")))
-    item = F.when(F.col("pieces").isNull(), F.pmod("h", F.lit(BUNDLES))).otherwise(alone)
-    marked = meta.join(F.broadcast(large), ["h", "crc"], "left").withColumn("item", item)  # shards * ALONE * 3 rows at most
-    items = sorted(marked.withColumn("rows", F.lit(1)).groupBy("item").agg(*sums).collect())  # bundles and pieces: bounded too
-    at = place(np.array([r[1:] for r in items], np.float64).reshape(-1, 3), shards)
-    where = spark.createDataFrame([(r[0], int(s)) for r, s in zip(items, at, strict=True)], "item long, shard int")
-    dealt = marked.select("id", "bytes", "crc", "h", "item").join(F.broadcast(where), "item")
+    alone = groups.where(large | late).select("h", "crc", pieces.alias("pieces"), late.alias("late"))  # shards * ALONE * 3 + LATE rows at most
+    item = F.when(F.col("pieces").isNotNull(), F.xxhash64("h", "crc", F.pmod(F.xxhash64("id", F.lit(9)), F.col("pieces"))))
+    marked = meta.join(F.broadcast(alone), ["h", "crc"], "left").withColumn("item", item)
+    items = marked.where("item is not null").withColumn("rows", F.lit(1)).groupBy("late", "item").agg(*sums)
+    first, held = ([r[1:] for r in found] for found in _halves(items.collect()))  # pieces and late groups: bounded too
+    share = np.array([r[1:] for r in first + held], np.float64).reshape(-1, 3) / room
+    left = np.ones((shards, 3))
+    at = place(share[: len(first)], left)
+    rest = groups.where(~large & ~late)
+    if n := rest.count():
+        cells = rest.withColumn("cell", F.pmod(F.xxhash64("h", F.lit(3)), F.lit(-(-n // CELL))))
+        small = scratch.cut(cells.groupBy("cell").applyInPandas(_place_cells(left, room), "h long, crc long, bytes long, words long, rows long, shard int"), "small")
+        for r in small.groupBy("shard").agg(*sums).collect():
+            left[r["shard"]] -= np.array(r[1:], np.float64) / room
+    at = even(share, np.concatenate([at, place(share[len(first) :], left)]), left)
+    where = spark.createDataFrame([(r[0], int(s)) for r, s in zip(first + held, at, strict=True)], "item long, shard int")
+    columns = ["id", "bytes", "crc", "h", "shard"]
+    dealt = marked.join(F.broadcast(where), "item").select(columns)
+    if n:  # a small group has no more than a part of a shard's rows, so none is hot
+        dealt = dealt.unionByName(marked.where("item is null").join(small.select("h", "crc", "shard"), ["h", "crc"]).select(columns))
     slots = running_sum(dealt, ["shard"], ["id", "h", "crc"], F.lit(1), "slot", rows=total["rows"] or 0)
     return slots.select(F.col("id").alias(id_col), F.col("bytes").alias("size"), F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 

@@ -61,6 +61,40 @@ def test_written_shards(spark, tmp_path):
 def test_place_fills_unequal_items():
     rng = np.random.default_rng(1)
     items = np.stack([rng.pareto(1.5, 500) + 1, rng.random(500), np.ones(500)], axis=1)
-    at = s.place(items, 10)
+    share, left = items / items.sum(axis=0) * 10, np.ones((10, 3))
+    at = s.even(share, s.place(share, left), left)
     total = np.bincount(at, items[:, 0], 10)
     assert total.max() <= max(1.02 * total.mean(), items[:, 0].max())
+    assert np.allclose(left, 1 - np.stack([np.bincount(at, share[:, d], 10) for d in range(3)], axis=1))
+
+
+def test_place_takes_the_highest_dot_product():
+    rng = np.random.default_rng(5)
+    share, left = rng.random((60, 3)) / 12, np.ones((6, 3))
+    at = s.place(share, left)
+    room = np.ones((6, 3))
+    for k in sorted(range(60), key=lambda k: (-share[k].max(), -share[k].sum(), k)):
+        open_ = [q for q in range(6) if (room[q] >= share[k] - 1e-12).all()]
+        best = max(open_, key=lambda q: (room[q] @ share[k], -q)) if open_ else max(range(6), key=lambda q: ((room[q] - share[k]).min(), -q))
+        assert at[k] == best
+        room[best] -= share[k]
+
+
+def test_small_groups_are_placed_one_by_one_in_cells(spark, monkeypatch):
+    """Few groups are kept back and cells are small, as in a table with many groups."""
+    monkeypatch.setattr(s, "LATE", 150)
+    monkeypatch.setattr(s, "CELL", 300)
+    monkeypatch.setattr(s, "ALONE", 32)
+    data = rows(4000)
+    df = spark.createDataFrame(data, SCHEMA).repartition(5)
+    out = s.assign_shards(df, shards=5).collect()
+    text = {r[0]: r[1] for r in data}
+    assert sorted(r["doc_id"] for r in out) == sorted(text)
+    shards, sizes, counts = collections.defaultdict(set), collections.Counter(), collections.Counter()
+    for r in out:
+        shards[text[r["doc_id"]]].add(r["shard"])
+        sizes[r["shard"]] += r["size"]
+        counts[r["shard"]] += 1
+    assert sum(len(v) > 1 for v in shards.values()) == 1
+    assert max(sizes.values()) <= 1.01 * min(sizes.values()) and max(counts.values()) <= 1.1 * min(counts.values())
+    assert sorted(s.assign_shards(df.repartition(2), shards=5).collect()) == sorted(out)
