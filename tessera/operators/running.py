@@ -46,3 +46,26 @@ def rows_above(df: DataFrame, column: str, out: str) -> DataFrame:
     before = totals.select(F.col("_p").alias("_q"), F.coalesce(F.sum("_t").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     ranked = parts.join(before, F.col("_p") == F.col("_q")).select("_v", (F.col("_in") + F.col("_b")).alias("_above"))
     return df.join(ranked, F.col(column) == F.col("_v"), "left").withColumn(out, F.coalesce("_above", F.lit(0)).cast("long")).select(*df.columns, out)
+
+
+def exact_percentiles(df: DataFrame, group: str, value: str, at: dict[str, float]) -> DataFrame:
+    """(group, one column for each entry of ``at``): percentiles of ``value``, interpolated between neighbours, without a task that holds a group.
+
+    Counts of distinct values are range-partitioned, partitions' totals give
+    every value its place among its group's, and the values at the places asked
+    for are picked out by an aggregate. Null values don't count; groups without
+    values are missing; null groups are a group.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    parts = counts.repartitionByRange("_g", "_v").withColumn("_p", F.spark_partition_id())
+    totals = parts.groupBy("_p", "_g").agg(F.sum("_n").alias("_t"))
+    before = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(F.col("_p").alias("_q"), F.col("_g").alias("_h"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_b"), F.sum("_t").over(Window.partitionBy("_g")).alias("_all"))
+    inside = Window.partitionBy("_p", "_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = parts.withColumn("_in", F.sum("_n").over(inside)).join(bases, (F.col("_p") == F.col("_q")) & F.col("_g").eqNullSafe(F.col("_h")))
+    end = F.col("_b") + F.col("_in")
+    here = lambda place: F.max(F.when((place >= end - F.col("_n")) & (place < end), F.col("_v")))
+    wanted = {k: F.lit(p) * (F.col("_all") - 1) for k, p in at.items()}
+    picked = placed.groupBy("_g").agg(F.max("_all").alias("_all"), *(here(f(w)).alias(f"{k}_{n}") for k, w in wanted.items() for n, f in (("lo", F.floor), ("hi", F.ceil))))
+    between = {k: F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * (w - F.floor(w)) for k, w in wanted.items()}
+    return picked.select(F.col("_g").alias(group), *(c.alias(k) for k, c in between.items()))

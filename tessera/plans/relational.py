@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.running import exact_percentiles
 from tessera.plans.base import Registry, cents, total
 from tessera.sources.tables import table
 
@@ -202,9 +203,66 @@ def skewed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(keys, F.col("l_suppkey") == F.col("k")).select("l_suppkey", (F.col("q") * F.col("n")).cast("double").alias("quantity"))
 
 
+_URGENCY = "SELECT o_orderpriority, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_quantity > 45 GROUP BY 1"
+
+
+def _hinted(spark: SparkSession, sf_dir: str, hint: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select("l_orderkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return orders.hint(hint).join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query(_URGENCY)
+def sort_merge_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hinted(spark, sf_dir, "merge")
+
+
+@query(_URGENCY)
+def shuffled_hash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each task holds its part of the hinted side; for sides whose parts fit, and that have no hot key."""
+    return _hinted(spark, sf_dir, "shuffle_hash")
+
+
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def cartesian_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strategy that compares all pairs, by hint, between the two tables that never grow."""
+    nations = table(spark, sf_dir, "nation").hint("shuffle_replicate_nl")
+    return nations.join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_name", "r_name")
+
+
 # aggregates
 
 
+@query("SELECT c_nationkey, min(c_name) AS first_name, max(c_mktsegment) AS last_segment FROM customer GROUP BY 1")
+def sort_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Buffers of strings, which no hash aggregate holds."""
+    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.min("c_name").alias("first_name"), F.max("c_mktsegment").alias("last_segment"))
+
+
+@query("""
+    SELECT c_nationkey, (SELECT s FROM (SELECT c2.c_mktsegment AS s, count(*) AS n FROM customer c2 WHERE c2.c_nationkey = c.c_nationkey GROUP BY 1) ORDER BY n DESC, s LIMIT 1) AS most_common,
+      string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_mktsegment) AS segments FROM customer c GROUP BY 1""")
+def mode_and_listagg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent value, the least of several, and distinct values in order as text."""
+    segments = F.expr("listagg(distinct c_mktsegment, '|') within group (order by c_mktsegment)")
+    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.mode("c_mktsegment", True).alias("most_common"), segments.alias("segments"))
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS users, true AS theta_close, true AS union_close, true AS kll_close FROM events GROUP BY 1")
+def sketches_within_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Theta and KLL sketches beside exact counts and places, and whether they agree within their error bounds."""
+    events = table(spark, sf_dir, "events")
+    parts = events.groupBy("event_type").agg(
+        F.count_distinct("user_id").alias("users"), F.theta_sketch_agg("user_id").alias("theta"), F.kll_sketch_agg_double("value").alias("kll")
+    ).join(exact_percentiles(events, "event_type", "value", {"low": 0.47, "high": 0.53}), "event_type")
+    whole = events.agg(F.count_distinct("user_id").alias("all_users"))
+    union = parts.agg(F.theta_union_agg("theta").alias("both"))
+    close = lambda got, want, part: F.abs(got / want - 1) <= part
+    one = whole.crossJoin(union).select(close(F.theta_sketch_estimate("both"), F.col("all_users"), 0.1).alias("union_close"))  # one row
+    held = parts.select("event_type", "users", close(F.theta_sketch_estimate("theta"), F.col("users"), 0.1).alias("theta_close"), F.kll_sketch_get_quantile_double("kll", F.lit(0.5)).between(F.col("low"), F.col("high")).alias("kll_close"))
+    return held.crossJoin(F.broadcast(one))
+
+
 @query("SELECT l_returnflag, l_linestatus, CAST(grouping(l_returnflag) AS INTEGER) AS g1, CAST(grouping(l_linestatus) AS INTEGER) AS g2, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
@@ -227,20 +285,24 @@ def grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
       round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(var_pop(value), 6) AS var, round(median(value), 6) AS mid, bool_or(value > 99) AS any_high, bool_and(value >= 0) AS all_low
     FROM events GROUP BY event_type""")
 def event_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(
+    events = table(spark, sf_dir, "events")
+    sums = events.groupBy("event_type").agg(
         F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.count_if(F.col("value") > 50).alias("high"), F.min("value").alias("lo"), F.max("value").alias("hi"),
-        F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd"), F.round(F.var_pop("value"), 6).alias("var"), F.median("value").alias("mid"),
+        F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_samp("value"), 6).alias("sd"), F.round(F.var_pop("value"), 6).alias("var"),
         F.bool_or(F.col("value") > 99).alias("any_high"), F.bool_and(F.col("value") >= 0).alias("all_low"),
     )
+    mids = exact_percentiles(events, "event_type", "value", {"mid": 0.5})
+    return sums.join(mids.withColumn("mid", F.round("mid", 6)), "event_type", "left")
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.9), 6) AS p90, round(quantile_cont(value, 0.25), 6) AS p25, round(corr(value, user_id), 6) AS r, round(regr_slope(value, user_id), 6) AS slope, round(covar_samp(value, user_id), 4) AS cov FROM events GROUP BY 1")
 def percentiles_and_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    return events.groupBy("event_type").agg(
-        F.round(F.percentile("value", 0.9), 6).alias("p90"), F.round(F.percentile("value", 0.25), 6).alias("p25"), F.round(F.corr("value", "user_id"), 6).alias("r"),
-        F.round(F.regr_slope("value", "user_id"), 6).alias("slope"), F.round(F.covar_samp("value", "user_id"), 4).alias("cov"),
+    fits = events.groupBy("event_type").agg(
+        F.round(F.corr("value", "user_id"), 6).alias("r"), F.round(F.regr_slope("value", "user_id"), 6).alias("slope"), F.round(F.covar_samp("value", "user_id"), 4).alias("cov")
     )
+    places = exact_percentiles(events, "event_type", "value", {"p90": 0.9, "p25": 0.25})
+    return fits.join(places.select("event_type", F.round("p90", 6).alias("p90"), F.round("p25", 6).alias("p25")), "event_type", "left")
 
 
 @query("SELECT user_id, max_by(event_type, ts) AS last_type, min_by(event_type, ts) AS first_type, count(*) AS n FROM events GROUP BY user_id")
@@ -333,6 +395,16 @@ def top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc_nulls_last("o_totalprice"), "o_orderkey").offset(5).limit(25)
 
 
+@query("""
+    SELECT * FROM (SELECT 'first' AS side, o_orderkey, nullif(o_orderstatus, 'F') AS status FROM orders ORDER BY status ASC NULLS FIRST, o_orderkey LIMIT 20)
+    UNION ALL SELECT * FROM (SELECT 'last' AS side, o_orderkey, nullif(o_orderstatus, 'F') AS status FROM orders ORDER BY status DESC NULLS LAST, o_orderkey LIMIT 30)""")
+def nulls_first_and_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.nullif("o_orderstatus", F.lit("F")).alias("status"))
+    first = rows.orderBy(F.asc_nulls_first("status"), "o_orderkey").limit(20)
+    last = rows.orderBy(F.desc_nulls_last("status"), "o_orderkey").limit(30)
+    return first.select(F.lit("first").alias("side"), "o_orderkey", "status").unionByName(last.select(F.lit("last").alias("side"), "o_orderkey", "status"))
+
+
 @query("SELECT DISTINCT l_returnflag, l_linestatus, CAST(l_linenumber AS INTEGER) AS l_linenumber FROM lineitem")
 def distinct_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber").distinct()

@@ -128,3 +128,42 @@ def conversation_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.col("url")
     return table(spark, sf_dir, "pages").select("page_id", F.parse_url(url, F.lit("HOST")).alias("host"), F.coalesce(F.parse_url(url, F.lit("QUERY")), F.lit("")).alias("query"), F.regexp_count("html", F.lit("<a ")).alias("links"))
+
+
+@query("""
+    SELECT doc_id, regexp_extract_all(text, '[0-9]{4}') AS years, CAST(len(regexp_extract_all(text, '([A-Z])[a-z]+', 1)) AS INTEGER) AS capitals, regexp_extract(text, '[a-z]+') AS first_word FROM documents""")
+def regexp_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capitals = F.regexp_extract_all("text", F.lit("([A-Z])[a-z]+"), F.lit(1))
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all("text", F.lit("[0-9]{4}"), F.lit(0)).alias("years"), F.size(capitals).alias("capitals"), F.regexp_extract("text", "[a-z]+", 0).alias("first_word"))
+
+
+@query("SELECT r_name, CASE r_name WHEN 'AFRICA' THEN 'A162' WHEN 'AMERICA' THEN 'A562' WHEN 'ASIA' THEN 'A200' WHEN 'EUROPE' THEN 'E610' ELSE 'M342' END AS sound FROM region")
+def soundex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "region").select("r_name", F.soundex("r_name").alias("sound"))
+
+
+@query("""
+    SELECT event_id, CAST(to_json({'event_id': event_id, 'event_type': event_type, 'k': CAST(json_extract_string(props, '$.k') AS BIGINT)}) AS VARCHAR) AS written, json_extract_string(props, '$.k') AS k,
+      'STRUCT<k: BIGINT>' AS shape FROM events""")
+def json_writing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = F.to_json(F.struct("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k")))
+    return table(spark, sf_dir, "events").select("event_id", row.alias("written"), F.json_tuple("props", "k").alias("k"), F.schema_of_json(F.lit('{"k": 1}')).alias("shape"))
+
+
+@query("""
+    SELECT n_regionkey, list_transform(list_zip(k, n), lambda x: CAST(x[1] AS VARCHAR) || '=' || x[2]) AS pairs, list_reverse_sort(k) AS falling, list_transform(k, lambda x: x * 3) AS tripled
+    FROM (SELECT n_regionkey, list(n_nationkey ORDER BY n_nationkey) AS k, list(n_name ORDER BY n_name) AS n FROM nation GROUP BY 1)""")
+def array_and_map_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list("n_nationkey")).alias("keys"), F.sort_array(F.collect_list("n_name")).alias("names"))
+    pairs = F.transform(F.arrays_zip("keys", "names"), lambda x: F.concat(x["keys"].cast("string"), F.lit("="), x["names"]))
+    falling = F.array_sort("keys", lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0))
+    doubled = F.map_from_arrays("keys", F.transform("keys", lambda x: x * 2))
+    summed = F.map_zip_with(F.map_from_arrays("keys", "keys"), doubled, lambda k, a, b: a + b)
+    return lists.select("n_regionkey", pairs.alias("pairs"), falling.alias("falling"), F.sort_array(F.map_values(summed)).alias("tripled"))
+
+
+@query("SELECT event_id, ts + INTERVAL 1 MONTH + INTERVAL 3 DAY + INTERVAL 2 HOUR AS later, ts - INTERVAL (user_id % 5) DAY AS earlier FROM events")
+def made_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals from numbers, constant and from columns."""
+    days = F.make_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("user_id") % 5).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", (F.col("ts") + F.make_interval(F.lit(0), F.lit(1), F.lit(0), F.lit(3), F.lit(2))).alias("later"), (F.col("ts") - days).alias("earlier"))

@@ -77,3 +77,11 @@ def stream_custom_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     updates = run.finish(state.running_totals(_stream(spark, sf_dir, scratch, None)), scratch, "update")
     last = updates.groupBy("user_id").agg(F.max_by(F.struct("n", "total"), "batch").alias("s"))
     return last.select("user_id", "s.n", F.round("s.total", 4).alias("total"))
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def stream_memory_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each of the few types, into the driver's memory."""
+    scratch = Scratch(spark, "stream")
+    counts = _stream(spark, sf_dir, scratch, None).groupBy("event_type").agg(F.count("*").alias("n"))
+    return run.in_memory(counts, scratch, "tessera_stream_counts")

@@ -77,3 +77,10 @@ def finish(stream: DataFrame, scratch: Scratch, mode: str = "append") -> DataFra
     for t in tables[1:]:
         result = result.unionByName(t)
     return result
+
+
+def in_memory(stream: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Runs a stream in complete mode into a table in the driver's memory: for small results, as in tests and reports."""
+    writer = stream.writeStream.outputMode("complete").option("checkpointLocation", scratch.path("checkpoint")).trigger(availableNow=True)
+    writer.format("memory").queryName(name).start().awaitTermination()
+    return stream.sparkSession.table(name)

@@ -10,7 +10,7 @@ from tessera.operators import frames
 from tessera.operators.asof import asof_join
 from tessera.operators.intervals import intervals_over, point_in_interval
 from tessera.operators.nearest import nearest
-from tessera.operators.running import rows_above, running_sum
+from tessera.operators.running import exact_percentiles, rows_above, running_sum
 
 
 def at(minute):
@@ -49,7 +49,7 @@ def test_every_pair_of_the_point_in_interval_join_is_counted(spark, sf_dir):
     import __spark_entry__ as entry
 
     counts = entry.queries()["point_in_interval_counts"](spark, sf_dir)
-    assert counts.agg(F.sum("n")).first()[0] == 37_465
+    assert counts.agg(F.sum("n")).first()[0] == entry.queries()["point_in_interval_join"](spark, sf_dir).count() == 37_465
 
 
 def test_running_sum_is_gapless_in_groups(spark):
@@ -68,6 +68,18 @@ def test_rows_above(spark):
     assert rows_above(df.limit(0), "v", "n").count() == 0
 
 
+def test_exact_percentiles(spark):
+    import numpy as np
+
+    rows = [("hot", float(k * k % 97)) for k in range(400)] + [("one", 5.0), ("two", 1.0), ("two", 2.0), (None, 3.0), (None, 3.0), ("none", None), ("hot", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    out = {r["g"]: (r["a"], r["b"], r["c"], r["d"]) for r in exact_percentiles(df, "g", "v", {"a": 0.0, "b": 0.25, "c": 0.9, "d": 1.0}).collect()}
+    assert set(out) == {"hot", "one", "two", None}
+    for g, got in out.items():
+        assert np.allclose(got, np.quantile([v for h, v in rows if h == g and v is not None], [0, 0.25, 0.9, 1]))
+    assert exact_percentiles(df.limit(0), "g", "v", {"a": 0.5}).count() == 0
+
+
 def test_frames_with_nulls(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 2, None), ("a", 2, 7), ("b", 1, None)], "g string, o int, v int")
     w = Window.partitionBy("g").orderBy("o").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

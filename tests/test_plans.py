@@ -36,7 +36,7 @@ def test_as_of_join_is_one_shuffle_and_a_window(spark, sf_dir):
     assert "Join" not in text and text.count("Exchange hashpartitioning") <= 2
 
 
-QUIET = [n for n in entry.oracle_sql() if not n.startswith(("op", "stream")) and n not in ("cross_join", "cosine_top_k", "null_aware_anti_join", "lateral_join", "top_supplier")]
+QUIET = [n for n in entry.oracle_sql() if not n.startswith(("op", "stream")) and n not in ("cross_join", "cartesian_join", "sketches_within_bounds", "cosine_top_k", "null_aware_anti_join", "lateral_join", "top_supplier")]
 
 
 @pytest.mark.parametrize("name", QUIET)
@@ -44,3 +44,8 @@ def test_no_nested_loops(spark, sf_dir, name):
     """But for the join that is one, a stated query set in blocks, NOT IN, and single rows."""
     text = plan(spark, sf_dir, name)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+@pytest.mark.parametrize(("name", "operator"), [("sort_merge_join", "SortMergeJoin"), ("shuffled_hash_join", "ShuffledHashJoin"), ("cartesian_join", "CartesianProduct"), ("sort_aggregate", "SortAggregate"), ("mode_and_listagg", "ObjectHashAggregate")])
+def test_hints_and_buffers_choose_the_operator(spark, sf_dir, name, operator):
+    assert operator in plan(spark, sf_dir, name)
