@@ -85,3 +85,18 @@ def stream_memory_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "stream")
     counts = _stream(spark, sf_dir, scratch, None).groupBy("event_type").agg(F.count("*").alias("n"))
     return run.in_memory(counts, scratch, "tessera_stream_counts")
+
+
+@query("""
+    WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events),
+    s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g),
+    t AS (SELECT user_id, k, min(ts) AS begin_ts, max(ts) AS last_ts, count(*) AS n FROM s GROUP BY user_id, k)
+    SELECT user_id, begin_ts, n FROM t QUALIFY lead(k) OVER (PARTITION BY user_id ORDER BY k) IS NOT NULL OR last_ts + INTERVAL 2 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""")
+def stream_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that a stateful processor closes at the next row beyond the gap or when its timer fires."""
+    scratch = Scratch(spark, "stream")
+    rows = _stream(spark, sf_dir, scratch).select("user_id", "ts", F.unix_micros("ts").alias("micros"))
+    with state.rocksdb(spark):
+        closed = rows.groupBy("user_id").transformWithStateInPandas(state.Sessions(7_200_000_000), "user_id long, begin long, n long", "append", "eventTime")
+        done = run.finish(closed, scratch)
+    return done.select("user_id", F.timestamp_micros("begin").cast("timestamp_ntz").alias("begin_ts"), "n")

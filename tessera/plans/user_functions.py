@@ -66,6 +66,21 @@ def table_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT n_nationkey, k FROM _udtf_nation, LATERAL tessera_up_to(n_regionkey)")
 
 
+@query("SELECT n_nationkey, n_nationkey * n_nationkey AS square FROM nation")
+def arrow_table_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table function over a whole table, whose rows come and go as Arrow batches."""
+
+    @F.arrow_udtf(returnType="n_nationkey int, square int")
+    class Squares:
+        def eval(self, rows: pa.RecordBatch) -> Iterator[pa.Table]:
+            k = rows.column("n_nationkey")
+            yield pa.table({"n_nationkey": k, "square": pc.multiply(k, k)})
+
+    spark.udtf.register("tessera_squares", Squares)
+    table(spark, sf_dir, "nation").select("n_nationkey").createOrReplaceTempView("_arrow_udtf_nation")
+    return spark.sql("SELECT * FROM tessera_squares(TABLE(_arrow_udtf_nation))")
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity * 2 AS doubled FROM lineitem WHERE l_quantity > 48")
 def partition_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     def doubled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -34,6 +34,11 @@ def read_jdbc(spark: SparkSession, url: str, name: str, column: str, low: int, h
     return spark.read.format("jdbc").options(url=url, dbtable=name, **bounds, **options).load()
 
 
+def write_jdbc(df: DataFrame, url: str, name: str, partitions: int, mode: str = "errorifexists", **options: str) -> None:
+    """``df`` into a database table, over ``partitions`` connections at most."""
+    df.coalesce(partitions).write.format("jdbc").mode(mode).options(url=url, dbtable=name, **options).save()
+
+
 def _options(kind: str) -> dict[str, str]:
     if kind not in OPTIONS:
         raise ValueError(f"format {kind!r} is not among {', '.join(sorted(OPTIONS))}")

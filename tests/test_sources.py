@@ -32,3 +32,14 @@ def test_scratch_tables_are_freed(spark):
     assert df.count() == 10 and path.startswith(shared_dir(spark))
     scratch.free(df)
     assert not os.path.exists(path.removeprefix("file://")) and not scratch.paths
+
+
+def test_jdbc_round_trip(spark):
+    """Against the database that comes with Spark, in memory."""
+    options = {"url": "jdbc:derby:memory:tessera;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    df = spark.createDataFrame([(k, f"n{k}" if k % 3 else None, k / 4) for k in range(100)], "id long, name string, amount double")
+    formats.write_jdbc(df, name="sums", partitions=2, **options)
+    back = formats.read_jdbc(spark, options["url"], "sums", "id", 0, 100, 4, driver=options["driver"])
+    assert back.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+    assert "PushedFilters: [*IsNotNull(id), *GreaterThan(id,90)]" in back.where("id > 90")._jdf.queryExecution().executedPlan().toString()
