@@ -219,22 +219,39 @@ def _contexts(batches, held: np.ndarray, place: np.ndarray, cls: np.ndarray):
         yield batch()
 
 
+def _merged(batches):
+    """(h, shape, first, codes, counts) of whole words from partial contexts sorted by word; a word that goes on in the next rows is carried there merged, so its rows are never held together."""
+    left = None
+    for b in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
+        lists = b.column(2)
+        value = lists.flatten().to_numpy()
+        h, shape, size = b.column(0).to_numpy(), b.column(1).to_numpy(), np.diff(lists.offsets.to_numpy())
+        code, count = value & 255, value >> 8
+        if left is not None:
+            h, shape, size, code, count = (np.concatenate(x) for x in zip(left, (h, shape, size, code, count), strict=True))
+        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        word = np.repeat(np.cumsum(np.concatenate([[0], h[1:] != h[:-1]])), size)
+        keys, back = np.unique(word * 256 + code, return_inverse=True)
+        count, code = np.bincount(back, count, len(keys)).astype(np.int64), keys & 255
+        first = np.searchsorted(keys >> 8, np.arange(len(begin)))
+        h, shape, last = h[begin], np.minimum.reduceat(shape, begin), first[-1]
+        left = h[-1:], shape[-1:], np.array([len(keys) - last]), code[last:], count[last:]
+        if len(h) > 1:
+            yield h[:-1], shape[:-1], first[:-1], code[:last], count[:last]
+    if left is not None:
+        yield left[0], left[1], np.zeros(1, np.int64), left[3], left[4]
+
+
 def _placed(batches, g: np.ndarray, classes: int):
     """The class (h, shape, n, class) of each word whose move there raises the likelihood most, from its contexts."""
     k = len(g)
     around = np.concatenate([g[:, :classes], g[:classes].T])  # by code
     own, rows, columns = xlogx(around), g.sum(axis=1)[:classes], g.sum(axis=0)[:classes]
-    for b in (b.slice(lo, 512) for b in batches for lo in range(0, b.num_rows, 512)):
-        lists = b.column(2)
-        value = lists.flatten().to_numpy()
-        word = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-        keys, back = np.unique(word * 256 + (value & 255), return_inverse=True)
-        count, code = np.bincount(back, value >> 8), keys & 255
-        at = np.searchsorted(keys >> 8, np.arange(len(lists)))
-        n = np.add.reduceat(np.where(code < k, count, 0), at)[:, None]
-        gain = np.add.reduceat(xlogx(around[code] + count[:, None]) - own[code], at)
+    for h, shape, first, code, count in _merged(batches):
+        n = np.add.reduceat(np.where(code < k, count, 0), first)[:, None]
+        gain = np.add.reduceat(xlogx(around[code] + count[:, None]) - own[code], first)
         gain -= xlogx(rows + n) - xlogx(rows) + xlogx(columns + n) - xlogx(columns)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n[:, 0].astype(np.int64)), pa.array(gain.argmax(axis=1).astype(np.int32))], ["h", "shape", "n", "class"])
+        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(shape), pa.array(n[:, 0]), pa.array(gain.argmax(axis=1).astype(np.int32))], ["h", "shape", "n", "class"])
 
 
 def learn_words(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> tuple[Model, DataFrame, DataFrame]:
@@ -262,7 +279,7 @@ def learn_words(docs: DataFrame, scratch: Scratch, text_col: str = "text") -> tu
     member[np.arange(size), cls] = 1
     shared_classes = spark.sparkContext.broadcast((clustered, place, cls, member.T @ matrix @ member))
     contexts = text.mapInArrow(lambda it: words.lean(_contexts(it, *shared_classes.value[:3])), "h long, shape int, contexts array<long>")
-    contexts = contexts.groupBy("h").agg(F.min("shape").alias("shape"), F.flatten(F.collect_list("contexts")).alias("contexts"))
+    contexts = contexts.repartition("h").sortWithinPartitions("h")
     schema = "h long, shape int, n long, class int"
     further = contexts.mapInArrow(lambda it: words.lean(_placed(it, shared_classes.value[3], classes)), schema)
     own = [(int(h), int(s), int(c), int(a)) for h, s, c, a in zip(hashes.view(np.int64), top.column("shape").to_numpy(), top.column("n").to_numpy(), cls, strict=False)]

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,7 +57,6 @@ def test_probabilities_add_up(spark, monkeypatch):
     monkeypatch.setattr(lm, "CLUSTERED", 30)
     monkeypatch.setattr(lm, "CLASSES", 6)
     from tessera.llm import words
-    import pyarrow as pa
     from tessera.sources.scratch import Scratch
 
     data = texts(120)
@@ -114,7 +114,6 @@ def test_odd_rows(spark):
 def test_words_outside_the_clustering_have_learnt_classes(spark, monkeypatch):
     monkeypatch.setattr(lm, "CLUSTERED", 30)
     monkeypatch.setattr(lm, "CLASSES", 2)
-    import pyarrow as pa
     from tessera.llm import words
     from tessera.sources.scratch import Scratch
 
@@ -144,3 +143,25 @@ def test_words_that_are_not_held_score_alike(spark, monkeypatch):
         w = whole[r["doc_id"]]
         assert (r["n_tokens"], r["n_known"]) == (w["n_tokens"], w["n_known"])
         assert r["score"] == pytest.approx(w["score"], abs=1e-6) and r["base_score"] == pytest.approx(w["base_score"], abs=1e-6)
+
+
+@pytest.mark.parametrize("rows", [1, 7, 3000])
+def test_partial_contexts_of_a_word_add_up(rows):
+    """A word in one row, in several, and in more than a batch holds."""
+    rng = np.random.default_rng(4)
+    h = np.sort(np.concatenate([np.repeat(7, rows), rng.integers(0, 20, rows)]))
+    lists = [[int(c) * 256 + int(x) for x, c in zip(rng.integers(0, 9, s), rng.integers(1, 5, s), strict=True)] for s in rng.integers(1, 6, len(h))]
+    want = collections.Counter()
+    for w, own in zip(h.tolist(), lists, strict=True):
+        for x in own:
+            want[w, x & 255] += x >> 8
+    table = pa.table({"h": pa.array(h), "shape": pa.array(np.zeros(len(h), np.int32)), "contexts": pa.array(lists, pa.list_(pa.int64()))})
+    got, seen = collections.Counter(), []
+    for own, shape, first, code, count in lm._merged(table.to_batches(max_chunksize=900)):
+        seen += own.tolist()
+        assert len(own) == len(shape) == len(first)
+        for w, c, n in zip(np.repeat(own, np.diff([*first, len(code)])).tolist(), code.tolist(), count.tolist(), strict=True):
+            assert (w, c) not in got
+            got[w, c] = n
+    assert got == want and seen == sorted(set(h.tolist()))
+    assert list(lm._merged([])) == []
