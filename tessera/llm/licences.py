@@ -83,6 +83,40 @@ STEPS = (
     (r"[^a-z0-9]+", " "),
 )
 
+#: MD5 of the canonical forms of whole texts that are too long to
+#: keep here, as their publishers give them. They change with STEPS. Each text
+#: holds the word licence in some spelling.
+DIGESTS = [
+    ("Apache-2.0", "31cb7d34ba7117a7800b989474d2c756"),  # whole
+    ("Apache-2.0", "f1eb2ddf6c2d591210ff723bfe975f1f"),  # whole, the appendix's copyright line filled in
+    ("Apache-2.0", "3af9e4095510eec3ebc61123d4b76030"),  # to the end of its terms
+    ("Apache-2.0", "72ad57b9ca5c8ef5ce5afff9bf65e08f"),  # terms without their closing line
+    ("Artistic-1.0-Perl", "01297679267ad921516667ccd889865e"),  # whole
+    ("BSD-3-Clause", "ddcd765ed0a3236bf96e15f76c36983a"),  # whole
+    ("CC0-1.0", "051963003b5c219734bed0ccfaf8875d"),  # whole
+    ("GFDL-1.2", "15638eb44bc666296db792072583c6d0"),  # whole
+    ("GFDL-1.3", "c4f8dc91dc260e4d2bc6358c75636c4e"),  # whole
+    ("GPL-1.0", "738cc3b112640d95d4cd79a58967ecea"),  # whole
+    ("GPL-1.0", "dbf3c47f5a8f127e58d08cabc1ebb916"),  # to the end of its terms
+    ("GPL-1.0", "21fa8693acc5194a648fe02e11f65a72"),  # terms without their closing line
+    ("GPL-2.0", "5e39ace6e62f5a7fe9c17b4da986ad8c"),  # whole
+    ("GPL-2.0", "68380dbeadb093b94ecf563db7312db7"),  # to the end of its terms
+    ("GPL-2.0", "f2c06efe640b4a281cbe5337cdde80ab"),  # terms without their closing line
+    ("GPL-3.0", "d4cf878a24108b96024a75261b13e813"),  # whole
+    ("GPL-3.0", "444f95dc767ede978b60cfb20fbd0bca"),  # to the end of its terms
+    ("GPL-3.0", "17e434cc6db7003444b088cb4cc81e91"),  # terms without their closing line
+    ("LGPL-2.0", "74cf7fcef3b29a39165a795b2cad3a3a"),  # whole
+    ("LGPL-2.0", "c396ba2f94537628797123bc12cd2d6e"),  # to the end of its terms
+    ("LGPL-2.0", "97832943be1e344d51af5aee1b658e4f"),  # terms without their closing line
+    ("LGPL-2.1", "f998bc436710cfece156aaa84fd26dd4"),  # whole
+    ("LGPL-2.1", "3054b3781b1af43f906dc753acad15ee"),  # to the end of its terms
+    ("LGPL-2.1", "eaf6afb73fc860a002bfbccbe6f07ce7"),  # terms without their closing line
+    ("LGPL-3.0", "b31b7335bc37919e8cdd79154e04d88d"),  # whole
+    ("MPL-1.1", "2ce0d4266659e18b421b004d4bf0bdcc"),  # whole
+    ("MPL-2.0", "0f04aa49d4cb32dee15a8c38e250f862"),  # whole
+]
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text; empty for null."""
     out = F.lower(F.coalesce(text.cast("string"), F.lit("")))
@@ -135,8 +169,9 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = spark.createDataFrame([*known_texts(), *extra], "licence string, text string").select("licence", canonical(F.col("text")).alias("form"))
     rows = known.groupBy("form").agg(F.min("licence").alias("licence")).collect()  # the list of code and what the caller adds
     known = spark.createDataFrame([(r["licence"], r["form"]) for r in rows], "licence string, form string").select("licence", F.md5("form").alias("digest"))
+    known = known.unionByName(spark.createDataFrame(DIGESTS, "licence string, digest string")).groupBy("digest").agg(F.min("licence").alias("licence"))
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text <> ''")
-    needed = literals([r["form"] for r in rows])
+    needed = literals([*(r["form"] for r in rows), "license"])  # the last for those known by digest
     if needed is not None:
         # what holds none of the literals has no known form; the steps of normalisation are for the rest
         likely = lambda: reduce(Column.__or__, (F.contains(F.lower("text"), F.lit(w)) for w in needed))
@@ -162,8 +197,10 @@ def oracle_sql() -> str:
         return "'" + s.replace("'", "''") + "'"
 
     rows = ", ".join(f"({quoted(k)}, {quoted(t)})" for k, t in known_texts())
+    digests = ", ".join(f"({quoted(k)}, {quoted(d)})" for k, d in DIGESTS)
     return f"""
-    WITH known AS (SELECT md5({form("text")}) AS digest, min(licence) AS licence FROM (VALUES {rows}) AS t(licence, text) GROUP BY 1),
+    WITH texts AS (SELECT licence, md5({form("text")}) AS digest FROM (VALUES {rows}) AS t(licence, text) UNION ALL SELECT * FROM (VALUES {digests}) AS d(licence, digest)),
+    known AS (SELECT digest, min(licence) AS licence FROM texts GROUP BY 1),
     lines AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
     units AS (SELECT doc_id, unnest(parts) AS text, unnest(range(len(parts))) AS line FROM lines UNION ALL SELECT doc_id, text, -1 FROM documents WHERE text IS NOT NULL),
     forms AS (SELECT doc_id, line, {form("text")} AS canonical FROM units)

@@ -1,5 +1,9 @@
+from pathlib import Path
+
 import duckdb
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import licences as x
 
@@ -56,3 +60,43 @@ def test_sql_gives_the_same(spark):
     documents = pd.DataFrame(texts, columns=["doc_id", "text"])  # noqa: F841
     rows = duckdb.connect().execute(x.oracle_sql().replace("FROM documents", "FROM df").replace("df WHERE", "documents WHERE")).fetchall()
     assert sorted(r[:4] for r in rows) == found(spark, texts)
+
+
+PUBLISHED = Path("/usr/share/common-licenses")
+
+
+@pytest.mark.skipif(not PUBLISHED.is_dir(), reason="no published texts on this machine")
+def test_long_licences_by_digest(spark):
+    """Whole published texts, with and without copyright lines, in other line widths and as comments."""
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "BSD": "BSD-3-Clause"}
+    texts, want = [], []
+    for n, (file, licence) in enumerate(files.items()):
+        text = (PUBLISHED / file).read_text(encoding="utf8")
+        forms = [text, f"Copyright (c) 2021 A. Person\n\n{text}", text.replace("license", "licence").upper(), "".join(f" * {line}\n" for line in text.split("\n"))]
+        if "END OF TERMS" in text:
+            forms.append(text[: text.index("END OF TERMS")])
+        if file == "Apache-2.0":
+            forms.append(text.replace("Copyright [yyyy] [name of copyright owner]", "Copyright 2020 Someone Else"))
+        texts += [(100 * n + k, t) for k, t in enumerate(forms)] + [(100 * n + 50, text[: len(text) // 2]), (100 * n + 51, text + "\nAnd further terms.")]
+        want += [(100 * n + k, licence, "text", -1) for k in range(len(forms))]
+    assert [f for f in found(spark, texts) if f[2] == "text"] == want
+
+
+def test_normalisation_by_hand(spark):
+    """Canonical forms written out by hand, not derived from the steps."""
+    pairs = {
+        "The Licence,  VERSION 2.0\n(see https://x.org/a)": "the license version 2 see",
+        "Copyright (c) 2020 Me\nUse & re-licensing": "use and relicensing",
+        "# Copyright Owner: v3 of it": "copyright holder version 3 of it",
+        "": "",
+        " -- \n": "",
+        "GNU GPL v2.0!": "gnu gpl version 2",
+    }
+    con = duckdb.connect()
+    form = "lower(t)"
+    for pattern, new in x.STEPS:
+        form = f"regexp_replace({form}, '{pattern}', '{new}', 'g')"
+    for text, want in pairs.items():
+        assert con.execute(f"SELECT trim({form}) FROM (SELECT ? AS t)", [text]).fetchone()[0] == want
+    rows = spark.createDataFrame(list(pairs.items()), "t string, want string").select("want", x.canonical(F.col("t")).alias("got")).collect()
+    assert [r["got"] for r in rows] == [r["want"] for r in rows]
