@@ -97,4 +97,34 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op7_licence_scan": licences.oracle_sql()}
+#: All pairs of usable vectors with equal labels, and what they reach.
+EMBEDDING_SQL = """
+WITH RECURSIVE able AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM able a JOIN able b ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) >= 0.98 * sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept FROM embeddings e JOIN comp c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id"""
+
+#: All pairs of distinct sets of 2-word shingles that share one, and what they reach.
+SHINGLE_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) END AS s FROM worded),
+alike AS (SELECT min(doc_id) AS node, list_sort(s) AS s FROM sets WHERE len(s) > 0 GROUP BY 2),
+sized AS (SELECT node, s, len(s) AS n FROM alike),
+single AS (SELECT node, n, unnest(s) AS x FROM sized),
+common AS (SELECT a.node AS a, b.node AS b, a.n AS na, b.n AS nb, count(*) AS n FROM single a JOIN single b ON a.x = b.x AND a.node < b.node AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY 1, 2, 3, 4),
+linked AS (SELECT a, b FROM common WHERE 100 * n >= 80 * (na + nb - n)),
+links AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (SELECT node AS a, node AS b FROM sized UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+comp AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1),
+own AS (SELECT sets.doc_id, len(sets.s) AS n_shingles, coalesce(c.component_id, sets.doc_id) AS component_id
+  FROM sets LEFT JOIN sized ON sized.s = list_sort(sets.s) LEFT JOIN comp c ON c.a = sized.node)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM own"""
+
+ORACLE_SQL: dict[str, str] = {"op1_embedding_near_dedup": EMBEDDING_SQL, "op3_minhash_near_dedup": SHINGLE_SQL, "op7_licence_scan": licences.oracle_sql()}

@@ -1,8 +1,10 @@
+import duckdb
 import numpy as np
 import pytest
 from brute import components
 
 from tessera.llm.embedding_dedup import link_embeddings, shape
+from tessera.llm.queries import EMBEDDING_SQL
 
 SCHEMA = "vec_id long, embedding array<float>, label int, note string"
 
@@ -90,3 +92,19 @@ def test_recall_of_thousands_of_links(spark, rows):
     assert len(links) > 2000
     out = {r["vec_id"]: r["n_links"] for r in link_embeddings(spark.createDataFrame(data, SCHEMA), tables=tables, bits=bits).collect()}
     assert out == count
+
+
+def test_sql_states_the_links():
+    """The query's SQL, where there are links, against all pairs in numpy."""
+    rng = np.random.default_rng(8)
+    centres = rng.standard_normal((5, 12))
+    rows = [(k, [float(x) for x in (centres[k % 5] + rng.standard_normal(12) * 0.06).astype(np.float32)], k % 2, "") for k in range(80)]
+    rows += [(90, None, 0, ""), (91, [0.0] * 12, 0, ""), (92, [float("nan")] * 12, 0, ""), (93, rows[0][1], None, ""), (94, [], 0, "")]
+    count, links = brute(rows)
+    assert len(links) > 100
+    comp = components([r[0] for r in rows], [(rows[a][0], rows[b][0]) for a, b in links])
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding FLOAT[], label INTEGER)")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?, ?)", [r[:3] for r in rows])
+    got = {r[0]: r[1:] for r in con.execute(EMBEDDING_SQL).fetchall()}
+    assert got == {r[0]: (count[k], comp[r[0]], comp[r[0]] == r[0]) for k, r in enumerate(rows)}
