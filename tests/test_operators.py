@@ -35,6 +35,27 @@ def test_point_in_interval(spark):
     assert out == sorted([(k, 1) for k in range(3, 20)] + [(10, 2)])
 
 
+def test_a_bin_with_all_points_is_shared_by_tasks(spark):
+    points, spans = spark.range(4000).select(F.col("id").alias("p"), (6 + F.col("id") % 2 / 4).alias("x")), spark.range(3000).select(F.col("id").alias("s"), (F.col("id") % 8).cast("double").alias("lo"))
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = point_in_interval(points, spans, F.col("x"), F.col("lo"), F.col("lo") + 4, 10)
+        counts = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert out.select("p", "s").distinct().count() == sum(counts) == 4000 * 3000 // 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert len(counts) > 1 and max(counts) < sum(counts) * 2 / 3
+
+
+def test_points_just_below_an_interval_s_end_are_inside(spark):
+    points = spark.createDataFrame([(1, 8.0000001), (2, 8.0000005), (3, 7.9999999), (4, 8.0)], "p int, x double")
+    spans = spark.createDataFrame([(1, 3.0, 8.0000005), (2, 3.0, 8.0)], "s int, lo double, hi double")
+    out = sorted((r["p"], r["s"]) for r in point_in_interval(points, spans, F.col("x"), F.col("lo"), F.col("hi"), 4).collect())
+    assert out == [(1, 1), (3, 1), (3, 2), (4, 1)]
+    assert point_in_interval(points.limit(0), spans, F.col("x"), F.col("lo"), F.col("hi"), 4).count() == 0
+
+
 def test_intervals_over(spark):
     points = spark.createDataFrame([(k, float(k)) for k in range(50)] + [(7, 7.0), (99, None)], "p int, x double")
     bounds = [(3.0, 20.0), (10.0, 11.0), (10.0, 11.0), (5.0, 5.0), (9.0, 2.0), (None, 4.0), (-5.0, 100.0), (20.0, 30.5)]
