@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.membership import not_in
 from tessera.operators.running import exact_percentiles
 from tessera.plans.base import Registry, cents, total
 from tessera.sources.tables import table
@@ -159,9 +160,9 @@ def anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT CASE WHEN l_quantity > 49 THEN l_partkey ELSE -1 END FROM lineitem)")
 def null_aware_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table(spark, sf_dir, "part").createOrReplaceTempView("_anti_part")
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("_anti_line")
-    return spark.sql("SELECT p_partkey FROM _anti_part WHERE p_partkey NOT IN (SELECT CASE WHEN l_quantity > 49 THEN l_partkey ELSE -1 END FROM _anti_line)")
+    """Distinct members are shuffled, not broadcast."""
+    member = F.when(F.col("l_quantity") > 49, F.col("l_partkey")).otherwise(-1)
+    return not_in(table(spark, sf_dir, "part").select("p_partkey"), F.col("p_partkey"), table(spark, sf_dir, "lineitem"), member)
 
 
 @query("SELECT a.n_name AS a_name, b.r_name AS b_name FROM nation a CROSS JOIN region b WHERE a.n_nationkey % 5 <> b.r_regionkey")

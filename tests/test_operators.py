@@ -9,6 +9,7 @@ from tessera.functions import vectors
 from tessera.operators import frames
 from tessera.operators.asof import asof_join
 from tessera.operators.intervals import intervals_over, point_in_interval
+from tessera.operators.membership import not_in
 from tessera.operators.nearest import nearest
 from tessera.operators.running import exact_percentiles, rows_above, running_sum
 
@@ -73,6 +74,18 @@ def test_every_pair_of_the_point_in_interval_join_is_counted(spark, sf_dir):
     assert counts.agg(F.sum("n")).first()[0] == entry.queries()["point_in_interval_join"](spark, sf_dir).count() == 37_465
 
 
+def test_not_in_with_nulls_copies_and_no_members(spark):
+    rows = spark.createDataFrame([(1, 1), (2, 2), (3, 3), (4, None), (5, 2)], "id int, v int")
+    rows.createOrReplaceTempView("_not_in_rows")
+    for members in ([2, 2, 7], [2, None], [None], [], [9]):
+        held = spark.createDataFrame([(m,) for m in members * 50], "m int")
+        held.createOrReplaceTempView("_not_in_members")
+        want = sorted(spark.sql("SELECT * FROM _not_in_rows WHERE v NOT IN (SELECT m FROM _not_in_members)").collect(), key=repr)
+        assert sorted(not_in(rows, F.col("v"), held, F.col("m")).collect(), key=repr) == want
+    spark.catalog.dropTempView("_not_in_rows")
+    spark.catalog.dropTempView("_not_in_members")
+
+
 def test_running_sum_is_gapless_in_groups(spark):
     df = spark.createDataFrame([("hot" if k % 3 else None if k % 2 else "cold", k, 1) for k in range(100)], "g string, k int, v int")
     rows = running_sum(df, ["g"], ["k"], "v", "at", 100).collect()

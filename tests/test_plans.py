@@ -46,6 +46,16 @@ def test_no_nested_loops(spark, sf_dir, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+def test_not_in_broadcasts_one_row_but_no_members(spark, sf_dir):
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(spark, sf_dir, "null_aware_anti_join")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert "SortMergeJoin" in text and "LeftAnti" in text and "HashedRelationBroadcastMode" not in text
+
+
 @pytest.mark.parametrize(("name", "operator"), [("sort_merge_join", "SortMergeJoin"), ("shuffled_hash_join", "ShuffledHashJoin"), ("cartesian_join", "CartesianProduct"), ("sort_aggregate", "SortAggregate"), ("mode_and_listagg", "ObjectHashAggregate")])
 def test_hints_and_buffers_choose_the_operator(spark, sf_dir, name, operator):
     assert operator in plan(spark, sf_dir, name)
