@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import frames
+from tessera.operators.running import rows_within
 from tessera.plans.base import Registry, cents
 from tessera.sources.tables import table
 
@@ -49,8 +50,8 @@ def rows_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS last_day FROM events")
 def range_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.expr("count(*) over (partition by event_type order by ts range between interval 1 day preceding and current row)")
-    return table(spark, sf_dir, "events").select("event_id", day.alias("last_day"))
+    """Frames as differences of running counts, so no frame is read for each row."""
+    return rows_within(table(spark, sf_dir, "events").select("event_id", "event_type", "ts"), "event_type", "ts", "interval 1 day", "last_day").select("event_id", "last_day")
 
 
 @query("SELECT o_orderkey, CAST(sum(o_orderkey) OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS near FROM orders")

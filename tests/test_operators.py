@@ -11,7 +11,7 @@ from tessera.operators.asof import asof_join
 from tessera.operators.intervals import intervals_over, point_in_interval
 from tessera.operators.membership import not_in
 from tessera.operators.nearest import nearest
-from tessera.operators.running import exact_percentiles, rows_above, running_sum
+from tessera.operators.running import exact_percentiles, rows_above, rows_within, running_sum
 
 
 def at(minute):
@@ -102,6 +102,16 @@ def test_rows_above(spark):
     assert rows_above(df.limit(0), "v", "n").count() == 0
 
 
+def test_rows_within(spark):
+    times = [0, 0, 1, 3, 3, 3, 8, 9, 13, 14, 20, 59, None, None]
+    rows = [(g, None if t is None else at(t)) for g in ("a", "b", None) for t in times] + [("a", at(4))] * 300 + [("only null", None)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id int, g string, t timestamp_ntz").repartition(5)
+    got = sorted(rows_within(df, "g", "t", "interval 5 minutes", "n").collect(), key=lambda r: r["id"])
+    near = lambda t, u: u is None if t is None else u is not None and t - dt.timedelta(minutes=5) <= u <= t
+    assert [(r["id"], r["n"]) for r in got] == [(k, sum(h == g and near(t, u) for h, u in rows)) for k, (g, t) in enumerate(rows)]
+    assert rows_within(df.limit(0), "g", "t", "interval 5 minutes", "n").count() == 0
+
+
 def test_exact_percentiles(spark):
     import numpy as np
 

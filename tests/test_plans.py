@@ -46,6 +46,11 @@ def test_no_nested_loops(spark, sf_dir, name):
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
+def test_no_window_holds_an_event_type(spark, sf_dir):
+    text = plan(spark, sf_dir, "range_frame")
+    assert "RangeFrame" not in text and "rangepartitioning(_g" in text
+
+
 def test_not_in_broadcasts_one_row_but_no_members(spark, sf_dir):
     broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
