@@ -53,21 +53,25 @@ def rows_within(df: DataFrame, group: str, at: str, back: str, out: str) -> Data
 
     Spark reads a row's whole frame again for each row, in one task a group.
     Here a row comes in at its time and is gone after its time and ``back``, an
-    interval literal: distinct times with both counts are range-partitioned,
-    partitions' totals give every time its base, and the rest is a running sum.
-    Nulls of ``at`` are peers of each other; null groups are a group.
+    interval literal of days or shorter units: distinct times with both counts
+    are range-partitioned, partitions' totals give every time its base, and the
+    rest is a running sum. Nulls of ``at`` are peers of each other; null groups
+    are a group. A fixed number of partitions is never coalesced, so both reads
+    number them alike. The joins are left ones: where ``out`` is not read, Spark
+    drops different columns of totals and times, partitions them apart, and an
+    inner join would lose rows.
     """
     here, later = F.struct(F.col(at).alias("_at"), F.lit(1).alias("_n"), F.lit(0).alias("_gone")), F.struct((F.col(at) + F.expr(back)).alias("_at"), F.lit(0).alias("_n"), F.lit(1).alias("_gone"))
     marks = df.select(F.col(group).alias("_g"), F.explode(F.array(here, later)).alias("m")).select("_g", "m.*")
     places = marks.groupBy("_g", "_at").agg(F.sum("_n").alias("_n"), F.sum("_gone").alias("_gone"))
-    parts = places.repartitionByRange("_g", "_at").withColumn("_p", F.spark_partition_id())
+    parts = places.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_g", "_at").withColumn("_p", F.spark_partition_id())
     totals = parts.groupBy("_p", "_g").agg(F.sum(F.col("_n") - F.col("_gone")).alias("_t"))
     before = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(F.col("_p").alias("_q"), F.col("_g").alias("_h"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_b"))
     inside = Window.partitionBy("_p", "_g").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    placed = parts.withColumn("_in", F.sum(F.col("_n") - F.col("_gone")).over(inside)).join(bases, (F.col("_p") == F.col("_q")) & F.col("_g").eqNullSafe(F.col("_h")))
+    placed = parts.withColumn("_in", F.sum(F.col("_n") - F.col("_gone")).over(inside)).join(bases, (F.col("_p") == F.col("_q")) & F.col("_g").eqNullSafe(F.col("_h")), "left")
     counts = placed.where("_n > 0").select("_g", "_at", (F.col("_b") + F.col("_in") + F.col("_gone")).alias("_over"))
-    return df.join(counts, F.col(group).eqNullSafe(F.col("_g")) & F.col(at).eqNullSafe(F.col("_at"))).withColumn(out, F.col("_over").cast("long")).select(*df.columns, out)
+    return df.join(counts, F.col(group).eqNullSafe(F.col("_g")) & F.col(at).eqNullSafe(F.col("_at")), "left").withColumn(out, F.col("_over").cast("long")).select(*df.columns, out)
 
 
 def exact_percentiles(df: DataFrame, group: str, value: str, at: dict[str, float]) -> DataFrame:

@@ -112,6 +112,20 @@ def test_rows_within(spark):
     assert rows_within(df.limit(0), "g", "t", "interval 5 minutes", "n").count() == 0
 
 
+def test_rows_within_keeps_all_rows_when_its_counts_are_not_read(spark):
+    df = spark.range(20_000).selectExpr("id", "cast(id % 500 as string) as g", "timestamp'2024-01-01' + make_dt_interval(0, 0, 0, id * 7) as t").repartition(5)
+    set_to = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    kept = {k: spark.conf.get(k) for k in set_to}
+    try:
+        for k, v in set_to.items():
+            spark.conf.set(k, v)
+        out = rows_within(df, "g", "t", "interval 1 hour", "n")
+        assert out.count() == out.select("id").distinct().count() == len(out.collect()) == 20_000
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_exact_percentiles(spark):
     import numpy as np
 
