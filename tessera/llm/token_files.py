@@ -12,6 +12,7 @@ attempt; what a lost or repeated task leaves behind is in no manifest.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import gc
 import json
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 from tessera.llm import words
 
 #: Words whose ids a worker remembers, about 20 bytes each; beyond them, or 8 times as many ids, it starts anew.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
+#: Rows that a worker gets at once: a batch is held by the executor's JVM, in its buffer to the worker, and by the worker.
+ROWS = 256
 #: Bytes of text encoded at once.
 CHUNK = 1 << 19
 #: Bytes of text in a part, about.
@@ -144,6 +147,21 @@ def encoder(path: str, by_word: bool, end_id: int) -> Encoder:
 words.kept["encoder"] = encoder.cache_clear
 
 
+@contextlib.contextmanager
+def _batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside hand workers ``rows`` rows at once at most; the caller's setting holds again afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, own = spark.conf.get(key, None), int(spark.conf.get(key))
+    spark.conf.set(key, min(rows, own) if own > 0 else rows)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 @dataclass
 class Part:
     order: int
@@ -204,7 +222,8 @@ def write_tokens(docs: DataFrame, directory: str, tokenizer: str, end_id: int, b
             f.write(offsets.astype("<u8").tobytes())
         yield pa.RecordBatch.from_pydict({"order": [TaskContext.get().partitionId()], "path": [name], "docs": [len(offsets) - 1], "tokens": [int(offsets[-1])]}, schema=pa.schema([("order", pa.int32()), ("path", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
-    parts = [Part(*r) for r in sorted(ranged.mapInArrow(lambda it: words.lean(write(it), "encoder"), "order int, path string, docs long, tokens long").collect())]  # one row for each partition
+    with _batches(spark, ROWS):
+        parts = [Part(*r) for r in sorted(ranged.mapInArrow(lambda it: words.lean(write(it), "encoder"), "order int, path string, docs long, tokens long").collect())]  # one row for each partition
     docs_before = tokens_before = 0
     for p in parts:
         p.doc_base, p.token_base = docs_before, tokens_before

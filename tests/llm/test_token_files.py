@@ -92,3 +92,19 @@ def test_what_a_worker_remembers_is_bounded(monkeypatch):
     texts = [" ".join(f"word{k}x{j}" for j in range(k % 40)) for k in range(200)]
     assert coded(coder, texts) == [ids(t) for t in texts]
     assert len(coder.keys) < 200
+
+
+def test_workers_get_few_rows_at_once(spark, monkeypatch):
+    df = spark.range(5000).selectExpr("id doc_id", "concat('text ', id) text").coalesce(1)
+    real, key = type(df).mapInArrow, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def seen(batches):
+        for b in batches:
+            assert b.num_rows <= 256
+            yield b
+
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, g, *a, **k: real(self, lambda it: g(seen(it)), *a, **k))
+    before = spark.conf.get(key, None)
+    manifest = f.write_tokens(df, Scratch(spark, "t").path("few"), tokenizer_path(), 1, True)
+    assert sum(p.docs for p in manifest.parts) == 5000
+    assert spark.conf.get(key, None) == before
