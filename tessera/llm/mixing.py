@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from tessera.llm.feistel import permute
 from tessera.llm.graph import runs, stretches
 from tessera.llm.names import fresh
-from tessera.llm.words import buffers, lean, mix, release, spans
+from tessera.llm.words import lean, mix
 from tessera.operators.running import rows_above, running_sum
 from tessera.sources.scratch import Scratch
 
 #: Words of a block, and output shards.
 BLOCK, SHARDS = 32, 64
+#: White space between words, in a character class and as characters.
+SPACE, BLANKS = r"\x20\x09-\x0D", "\x20\x09\x0a\x0b\x0c\x0d"
 #: Slots that one row stands for before they are counted out.
 RUN = 1 << 16
 #: Groups of sources whose counts per shard are drawn first; a group's sources draw within them.
@@ -99,7 +101,7 @@ def _blocks(batches):
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
 
 
 @dataclass
@@ -173,6 +175,27 @@ def taken(mixture: Mixture, id_col: str = "doc_id") -> DataFrame:
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def _cut(text: Column, lead: Column, cuts: Column, most: int) -> Column:
+    """The words of ``text`` in the blocks of ``cuts`` (at, uses), pass after pass; ``lead`` words of others come first in its first block.
+
+    In Spark's own expressions: no batch of texts is held outside the heap or by a worker.
+    """
+    block = rf"(?:[^{SPACE}]++[{SPACE}]*+){{1,{BLOCK}}}+"
+    blocks = F.regexp_extract_all(F.concat(F.repeat(F.lit("x "), lead), F.trim(text, F.lit(BLANKS))), F.lit(block), F.lit(0))
+
+    def taken(own: Column) -> Column:
+        def one(again: int) -> Column:
+            picked = F.filter(own["cuts"], lambda u: u["uses"] >= again)
+            words = lambda u: F.element_at(own["blocks"], u["at"] + 1)
+            text = F.array_join(F.transform(picked, lambda u: F.when(u["at"] == 0, F.substring(words(u), own["lead"] * 2 + 1, F.length(words(u)))).otherwise(words(u))), "")
+            return F.when(text.rlike(f"[^{SPACE}]\\z"), F.concat(text, F.lit(" "))).otherwise(text)
+
+        return F.trim(F.concat(*(one(again) for again in range(1, 1 + most))), F.lit(BLANKS))
+
+    # through an array of one row: the blocks are cut out once, not for each that is taken
+    return F.transform(F.array(F.struct(blocks.alias("blocks"), lead.alias("lead"), cuts.alias("cuts"))), taken)[0]
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", length_col: str = "n_chars", **options) -> DataFrame:
     """The mixture as documents: each row's text is cut to the words the mixture takes, with all columns.
 
@@ -185,14 +208,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     mixture = mix_sources(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    key, copy, k, c, cuts = fresh(docs.columns, "key", "copy", "own_key", "own_copy", "cuts")
+    key, copy, k, c, cuts, lead = fresh(docs.columns, "key", "copy", "own_key", "own_copy", "cuts", "lead")
     # a row's key: two rows that share it by accident share it with probability 2^-64
     of = lambda i, text, source: F.xxhash64(F.coalesce(i, F.lit(0)), i.isNull(), text, F.coalesce(source, F.lit("")), source.isNull())
-    cut_at = F.struct((F.greatest("start", F.col("block") * BLOCK) - F.col("start")).cast("int").alias("first"), F.col("words").cast("int").alias("words"), F.col("uses").cast("int").alias("uses"))
+    cut_at = F.struct((F.col("block") - F.floor(F.col("start") / BLOCK)).cast("int").alias("at"), F.col("uses").cast("int").alias("uses"))
     per = mixture.pieces.groupBy("id", "text_hash", "source_id", "start").agg(F.sort_array(F.collect_list(cut_at)).alias(cuts))
     per = per.join(mixture.sources.select("source_id", "source"), "source_id")
     # repeated rows are numbered, so that each gets its own pieces
-    numbered = per.select(of(F.col("id"), F.col("text_hash"), F.col("source")).alias(k), "start", cuts).withColumn(c, F.row_number().over(Window.partitionBy(k).orderBy("start"))).select(k, c, cuts)
+    numbered = per.select(of(F.col("id"), F.col("text_hash"), F.col("source")).alias(k), "start", cuts).withColumn(c, F.row_number().over(Window.partitionBy(k).orderBy("start"))).select(k, c, F.pmod("start", F.lit(BLOCK)).cast("int").alias(lead), cuts)
     keyed = docs.withColumn(key, of(F.col(id_col).cast("long"), F.xxhash64(text_col), F.col(source_col).cast("string")))
     one = keyed.withColumn(copy, F.lit(1))
     if mixture.repeated:
@@ -201,29 +224,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = keyed.join(again, same, "left_semi").withColumn(copy, F.row_number().over(Window.partitionBy(key).orderBy(F.lit(0))))
         one = keyed.join(again, same, "left_anti").withColumn(copy, F.lit(1)).unionByName(more)
 
-    @F.arrow_udf("string")
-    def cut(text: pa.Array, cuts: pa.Array) -> pa.Array:
-        data, offsets = buffers(text)
-        at, fields = cuts.offsets.to_numpy(), [cuts.values.field(k).to_numpy() for k in ("first", "words", "uses")]
-        out, stop = bytearray(), np.zeros(len(text) + 1, np.int32)
-        for r in range(len(text)):
-            own = offsets[r : r + 2]
-            raw = data[own[0] : own[1]].tobytes()
-            starts, ends, _ = spans(data, own)
-            stops = np.append(starts[1:], ends[-1:])
-            first, words, uses = (f[at[r] : at[r + 1]] for f in fields)
-            taken = []
-            for again in range(1, 1 + int(uses.max(initial=0))):
-                now = (uses >= again) & (words > 0)
-                taken += [raw[a:b] for a, b in zip(starts[first[now]].tolist(), stops[(first + words - 1)[now]].tolist(), strict=True)]
-                if taken and not taken[-1][-1:].isspace():
-                    taken.append(b" ")
-            out += b"".join(taken).strip()
-            stop[r + 1] = len(out)
-        release()
-        return pa.Array.from_buffers(pa.string(), len(text), [None, pa.py_buffer(stop), pa.py_buffer(out)])
-
-    joined = one.join(numbered, (F.col(key) == F.col(k)) & (F.col(copy) == F.col(c))).withColumn(text_col, cut(F.col(text_col), F.col(cuts)))
+    joined = one.join(numbered, (F.col(key) == F.col(k)) & (F.col(copy) == F.col(c))).withColumn(text_col, _cut(F.col(text_col), F.col(lead), F.col(cuts), options.get("most", 2)))
     if length_col in docs.columns:
         joined = joined.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
     return joined.select(*docs.columns)

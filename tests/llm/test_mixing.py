@@ -1,4 +1,5 @@
 import collections
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -80,6 +81,25 @@ def test_mixed_documents_hold_what_is_taken(spark):
     assert got == {r["doc_id"]: r["n"] for r in taken.collect()}
 
 
+def test_texts_are_cut_without_workers(spark):
+    texts = ["  a\tb\xa0c \n\n" * 90, "\u3000x y\x0bz\x1cq " * 70, "é 日本 語\r\n𝒳 w" * 50, "one", " \n ", None, "\x85k\x0c l" * 40]
+    df = spark.createDataFrame([(k, t, "pq"[k % 2], 0, 0, "") for k, t in enumerate(texts * 3)], SCHEMA)
+    mixture, out = m.mix_sources(df), m.mixed_documents(df)
+    assert "EvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    whole = {k: re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", (t or "").strip(" \t\n\v\f\r")) for k, t in enumerate(texts * 3)}
+    wanted, ids = collections.defaultdict(lambda: collections.defaultdict(list)), set()
+    for r in mixture.pieces.orderBy("id", "block").collect():
+        ids.add(r["id"])
+        first = max(r["start"], r["block"] * m.BLOCK) - r["start"]
+        for again in range(r["uses"]):
+            wanted[r["id"]][again] += whole[r["id"]][first : first + r["words"]]
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert got.keys() == ids and len(got) > 10
+    for k, passes in wanted.items():
+        parts = ["".join(passes[again]) for again in sorted(passes)]
+        assert got[k] == "".join(p if p[-1] in " \t\n\v\f\r" else p + " " for p in parts).strip(" \t\n\v\f\r")
+
+
 def test_odd_rows(spark):
     data = [(None, "a b", None, 0, 0, ""), (1, None, "x", 0, 0, ""), (2, " \n", "y", 0, 0, ""), (3, "one", "x", 0, 0, ""), (3, "one", "x", 0, 0, "")]
     df = spark.createDataFrame(data, SCHEMA)
