@@ -57,6 +57,32 @@ def test_points_just_below_an_interval_s_end_are_inside(spark):
     assert point_in_interval(points.limit(0), spans, F.col("x"), F.col("lo"), F.col("hi"), 4).count() == 0
 
 
+def test_dense_bins_are_not_multiplied_by_the_shuffle(spark):
+    points, spans = spark.range(6000).select(F.col("id").alias("p"), (F.col("id") % 10).cast("double").alias("x")), spark.range(5000).select(F.col("id").alias("s"), (F.col("id") % 8).cast("double").alias("lo"))
+    out = point_in_interval(points, spans, F.col("x"), F.col("lo"), F.col("lo") + 4, 10)
+    assert out.columns == ["p", "x", "s", "lo"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan.split("_small")[0] and "rightHint=(strategy=broadcast)" in plan
+    wanted = sum(lo <= x < lo + 4 for x in range(10) for lo in range(8)) * 600 * 625
+    assert out.count() == out.select("p", "s").distinct().count() == wanted
+
+
+def test_passes_and_cells_of_the_interval_join_agree(spark, monkeypatch):
+    from tessera.operators import intervals as module
+
+    points = spark.createDataFrame([(k, float(k % 97)) for k in range(700)] + [(999, None)], "p int, x double")
+    spans = spark.createDataFrame([(k, float(k % 89), float(k % 89 + k % 7)) for k in range(500)], "s int, lo double, hi double")
+    brute = sorted((k, j) for k in range(700) for j in range(500) if j % 89 <= k % 97 < j % 89 + j % 7)
+    for broadcast, block, swapped in ((200_000, 1024, False), (300, 16, False), (300, 16, True), (20, 1024, False)):
+        monkeypatch.setattr(module, "BROADCAST", broadcast)
+        monkeypatch.setattr(module, "BLOCK", block)
+        few = spans.where("s < 50") if swapped else spans
+        out = point_in_interval(points, few, F.col("x"), F.col("lo"), F.col("hi"), 40)
+        cells = "_rcell" in out._jdf.queryExecution().optimizedPlan().toString()
+        assert cells == (broadcast == 20)
+        assert sorted((r["p"], r["s"]) for r in out.collect()) == [b for b in brute if not swapped or b[1] < 50]
+
+
 def test_intervals_over(spark):
     points = spark.createDataFrame([(k, float(k)) for k in range(50)] + [(7, 7.0), (99, None)], "p int, x double")
     bounds = [(3.0, 20.0), (10.0, 11.0), (10.0, 11.0), (5.0, 5.0), (9.0, 2.0), (None, 4.0), (-5.0, 100.0), (20.0, 30.5)]
